@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, quality, telephony
+from lodestone.llm import decontaminate, jaccard, quality, telephony
 from lodestone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_telephony, op3_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
