@@ -58,6 +58,13 @@ def byte_bpe_encoder(ranks_file: str) -> Callable[[str], list[int]]:
     return encode
 
 
+def public_vocabulary() -> str:
+    """The byte-level BPE vocabulary that is installed here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def vocabulary_ranks(json_file: str) -> str:
     """The ranks file that stands beside a tokenizer's JSON file and holds the same vocabulary."""
     return json_file.removesuffix(".json") + ".tiktoken"

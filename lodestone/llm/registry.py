@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jaccard, quality, telephony
+from lodestone.llm import decontaminate, jaccard, packing, quality, substrings, telephony, warc, wrappers
 from lodestone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,25 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.public_vocabulary())
+
+
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_articles(table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard)}
+    found = (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard, op6_suffix, op8_packing, op9_extraction, op10_warc)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
