@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jaccard, packing, quality, substrings, telephony, warc, wrappers
+from lodestone.llm import decontaminate, hmm, jaccard, licences, packing, quality, substrings, telephony, warc, wrappers
 from lodestone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,18 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.public_vocabulary())
 
@@ -46,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard, op6_suffix, op8_packing, op9_extraction, op10_warc)
+    found = (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard, op5_licences, op6_suffix, op7_language_model, op8_packing, op9_extraction, op10_warc)
     return {f.__name__: f for f in found}
 
 
