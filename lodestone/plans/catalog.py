@@ -5,21 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.plans import q_aggregates, q_evaluation, q_inventory, q_ranking, q_retrieval, q_scans, q_streaming, q_text  # noqa: F401  registers
+from lodestone.plans.registry import REGISTRY, bind
 
-Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "j05_reciprocal_rank_fusion"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per source with their size."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")).orderBy("source")
+    """Reciprocal-rank fusion of the ranked lists of every query vector."""
+    return queries()[FLAGSHIP](spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {"flagship": flagship}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: bind(f) for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source ORDER BY source"}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
