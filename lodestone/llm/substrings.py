@@ -153,10 +153,7 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _segments(documents: DataFrame, length: int, bits: int) -> DataFrame:
-    """Segments of buckets that may have two entries; written once.
-
-    The bytes of a segment come with its first occurrence in a task only.
-    """
+    """Where each segment stands whose bucket may have two entries; written once, without the bytes."""
     texts = documents.select(F.col("text").cast("string").alias("text"))
 
     def grams(values: Iterator[bytes], powers: Powers) -> np.ndarray:
@@ -164,105 +161,124 @@ def _segments(documents: DataFrame, length: int, bits: int) -> DataFrame:
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
     shared = documents.sparkSession.sparkContext.broadcast(count_levels(texts, grams, Powers, (2,), bits))  # a fixed number of bits
-    names = ["bucket", "segment", "bytes", "lead", "windows", "row", "start"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, sent = Powers(), set()
+        powers = Powers()
         for b in batches:
-            columns: list[list] = [[] for _ in names]
-            size = 0
+            keys: list[int] = []
+            parts: list[tuple[np.ndarray, ...]] = []
             for row, text in zip(b.column(0).to_pylist(), byte_values(b.column(1)), strict=True):
                 if len(text) < length:
                     continue
                 h, place, first, last = window_grams(text, powers, length)
-                for i in np.flatnonzero(shared.value.of(h)).tolist():
-                    lo, hi = int(first[i]), int(last[i])
-                    seg = text[lo : hi + length]
-                    lead = int(place[i]) - lo
-                    key = xxhash.xxh3_128_digest(seg, seed=lead)
-                    new = key not in sent
-                    if new and len(sent) < 300_000:
-                        sent.add(key)
-                    size += len(seg) if new else 0
-                    for c, v in zip(columns, (int(h[i].view(np.int64)), key, seg if new else None, lead, hi - lo + 1, row, lo), strict=True):
-                        c.append(v)
-                if size > 8 << 20:
-                    yield _batch(columns, names)
-                    columns, size = [[] for _ in names], 0
-            yield _batch(columns, names)
+                own = np.flatnonzero(shared.value.of(h))
+                first, last, place = first[own], last[own], place[own]
+                keys += [segment_key(text[lo : hi + length], at - lo) for lo, hi, at in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
+                parts.append((h[own].view(np.int64), np.full(len(own), row), first, last - first + 1))
+            bucket, rows, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys, pa.int64()), pa.array(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], names=["bucket", "segment", "row", "start", "windows"])
+
+    return materialize(_keyed(documents).mapInArrow(cut, "bucket long, segment long, row long, start int, windows int"), "segments")
+
+
+def segment_key(data: bytes, lead: int) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed=lead) - (1 << 63)
+
 
-    lean = documents.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
-    return materialize(lean.mapInArrow(cut, "bucket long, segment binary, bytes binary, lead int, windows int, row long, start long"), "segments")
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
 
 
-_TYPES = {"bucket": pa.int64(), "segment": pa.binary(), "bytes": pa.binary(), "lead": pa.int32(), "windows": pa.int32(), "row": pa.int64(), "start": pa.int64()}
+def _contents(documents: DataFrame, buckets: np.ndarray, length: int, but: np.ndarray | None = None) -> DataFrame:
+    """bucket, segment, bytes, lead, windows of the different segments of marked buckets, but those marked in ``but``."""
+    spark = documents.sparkSession
+    asked = spark.sparkContext.broadcast((buckets, but))  # fixed numbers of bits
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, sent = Powers(), set()
+        names, kinds = ["bucket", "segment", "bytes", "lead", "windows"], (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        marked, hot = asked.value
+        for b in batches:
+            rows: list[tuple] = []
+            size = 0
+            for text in byte_values(b.column(1)):
+                if len(text) < length:
+                    continue
+                h, place, first, last = window_grams(text, powers, length)
+                bucket = h.view(np.int64)
+                wanted = in_bitmap(marked, bucket)
+                if hot is not None:
+                    wanted &= ~in_bitmap(hot, bucket)
+                own = np.flatnonzero(wanted)
+                for k, lo, hi, at in zip(bucket[own].tolist(), first[own].tolist(), last[own].tolist(), place[own].tolist(), strict=True):
+                    data = text[lo : hi + length]
+                    key = (k, segment_key(data, at - lo))
+                    if key not in sent:
+                        if len(sent) < 200_000:
+                            sent.add(key)
+                        rows.append((*key, data, at - lo, hi - lo + 1))
+                        size += len(data)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[n]) for c, n in zip(columns, names, strict=True)], names=names)
+    return _keyed(documents).mapInArrow(cut, "bucket long, segment long, bytes binary, lead int, windows int")
 
 
 def _search(entries: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """segment, runs (of repeated windows) for segments that stand once and share windows with others of their bucket."""
+    """bucket, segment, runs (of repeated windows) for segments that share windows with others of their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(found: list[list]) -> pa.RecordBatch:
-            """found: bucket, segment, bytes, lead, windows, copies of each different segment."""
-            keys, runs = [], []
-            several, held = [], {}
+        def flush(found: list[tuple]) -> pa.RecordBatch:
+            held: dict[int, int] = {}
             for x in found:
                 held[x[0]] = held.get(x[0], 0) + 1
-            for x in found:
-                if held[x[0]] > 1:
-                    several.append(x)
+            several = [x for x in found if held[x[0]] > 1]
+            keys, segments, runs = [], [], []
             if several:
                 windows = np.array([x[4] for x in several])
                 flags = repeated_windows([x[2] for x in several], np.array([x[3] for x in several]), windows, length)
                 for x, part in zip(several, np.split(flags, np.cumsum(windows)[:-1]), strict=True):
-                    if x[5] == 1 and part.any():
-                        keys.append(x[1])
+                    if part.any():
+                        keys.append(x[0])
+                        segments.append(x[1])
                         runs.append(_runs(part))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=["segment", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segments, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["bucket", "segment", "runs"])
 
-        found: list[list] = []
+        found: list[tuple] = []
         size = 0
         for b in batches:
-            for bucket, segment, data, lead, windows, copies in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if found and found[-1][1] == segment and found[-1][0] == bucket:
-                    found[-1][2] = found[-1][2] or data
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if found and found[-1][:2] == x[:2]:
                     continue
-                if size > block_bytes and found[-1][0] != bucket:
+                if size > block_bytes and found[-1][0] != x[0]:
                     yield flush(found)
                     found, size = [], 0
-                found.append([bucket, segment, data, lead, windows, copies])
-                size += len(data or b"") or windows + length
+                found.append(x)
+                size += len(x[2])
         if found:
             yield flush(found)
 
-    columns = ["bucket", "segment", "bytes", "lead", "windows", "copies"]
-    dealt = entries.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "segment")
-    return dealt.mapInArrow(run, "segment binary, runs array<int>")
+    return entries.repartition("bucket").sortWithinPartitions("bucket", "segment").mapInArrow(run, "bucket long, segment long, runs array<int>")
 
 
 def repeated_spans(documents: DataFrame, length: int = 200, bits: int = 1 << 27, block_bytes: int = 4 << 20, bucket_limit: int = 8192) -> DataFrame:
     """row (hash of doc_id and text), spans: byte ranges to remove, flat, unsorted."""
-    cut = _segments(documents, length, bits)
-    counted = cut.groupBy("bucket", "segment").agg(F.count("*").alias("copies"), F.max("lead").alias("lead"), F.max("windows").alias("windows"))
-    counted = materialize(counted, "segment_counts")
-    sizes = counted.groupBy("bucket").agg(F.count("*").alias("different"), F.sum("copies").alias("all")).where("all > 1")
-    live = counted.join(sizes, "bucket")
-    whole = live.where("copies > 1").select("segment", F.array(F.lit(0), "windows").cast("array<int>").alias("runs"))
-    held = cut.where("bytes IS NOT NULL").select("bucket", "segment", "bytes")
-    several = sizes.where("different > 1").select("bucket", (F.col("different") > bucket_limit).alias("hot"))
-    entries = held.join(several, "bucket").join(counted.select("bucket", "segment", "copies", "lead", "windows"), ["bucket", "segment"])
-    entries = materialize(entries, "segment_entries")
-    found = [whole.select("segment", "runs"), _search(entries.where("NOT hot").select("bucket", "segment", "bytes", "lead", "windows", "copies"), length, block_bytes)]
-    if not entries.where("hot").isEmpty():
-        found.append(_hot_windows(entries.where("hot"), length))
-    marks = materialize(found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2]), "segment_marks")
-    spans = cut.select("segment", "row", "start").join(marks, "segment")
-    absolute = F.expr(f"transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0))")
-    return spans.select("row", absolute.alias("part")).groupBy("row").agg(F.flatten(F.collect_set("part")).alias("spans"))
+    places = _segments(documents, length, bits)
+    counted = materialize(places.groupBy("bucket", "segment").agg(F.count("*").alias("copies")), "segment_counts")
+    sizes = materialize(counted.groupBy("bucket").agg(F.count("*").alias("different")).where("different > 1"), "bucket_sizes")
+    several = row_bitmap(sizes, bits, "bucket")
+    hot = row_bitmap(sizes.where(F.col("different") > bucket_limit), bits >> 3, "bucket")
+    again = counted.where("copies > 1").select("bucket", "segment", F.lit(None).cast("array<int>").alias("runs"))
+    found = _search(_contents(documents, several, length, hot), length, block_bytes)
+    if hot.any():
+        found = found.unionByName(_hot_windows(_contents(documents, hot, length), length))
+    marks = again.unionByName(materialize(found, "segment_marks"))
+    absolute = F.expr(f"if(runs IS NULL, array(start, start + windows + {length - 1}), transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0)))")
+    spans = places.join(marks, ["bucket", "segment"]).select("row", absolute.alias("part"))
+    return spans.groupBy("row").agg(F.flatten(F.collect_set("part")).alias("spans"))
 
 
 def _hot_windows(entries: DataFrame, length: int) -> DataFrame:
@@ -270,18 +286,19 @@ def _hot_windows(entries: DataFrame, length: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            window, segment, place = [], [], []
-            for key, data, lead, windows in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for i in range(windows):
-                    window.append(xxhash.xxh3_128_digest(data[i : i + length], seed=lead - i))
-                    segment.append(key)
-                    place.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(segment, pa.binary()), pa.array(place, pa.int32())], names=["window", "segment", "place"])
-
-    parts = materialize(entries.dropDuplicates(["segment"]).select("segment", "bytes", "lead", "windows").mapInArrow(split, "window binary, segment binary, place int"), "hot_windows")
+            window, source, place = [], [], []
+            for n, (data, lead, windows) in enumerate(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                window += [xxhash.xxh3_128_digest(data[i : i + length], seed=lead - i) for i in range(windows)]
+                source += [n] * windows
+                place += range(windows)
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32())], names=["window", "bucket", "segment", "place"])
+
+    once = entries.dropDuplicates(["bucket", "segment"]).select("bucket", "segment", "bytes", "lead", "windows")
+    parts = materialize(once.mapInArrow(split, "window binary, bucket long, segment long, place int"), "hot_windows")
     again = parts.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    met = parts.join(again, "window").groupBy("segment").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return met.select("segment", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).cast("array<int>").alias("runs"))
+    met = parts.join(again, "window").groupBy("bucket", "segment").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return met.select("bucket", "segment", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).cast("array<int>").alias("runs"))
 
 
 def _union(spans: list[int] | None) -> list[tuple[int, int]]:
