@@ -197,25 +197,23 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20, window: int =
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 4 << 20) -> DataFrame:
-    """``documents`` with ``n_words``, ``hit_spans`` (flat word ranges, merged) and ``hit_items`` (sorted distinct ids)."""
+    """own (a struct of the row's columns), n_words, hit_spans (flat word ranges, merged) and hit_items (sorted distinct ids)."""
     spark = documents.sparkSession
-    taken = ("n_words", "hit_spans", "hit_items")
-    others = [c for c in documents.columns if c not in taken]
-    df = documents.select(*others, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    schema, at = df.schema, others.index("text")
+    df = documents.select(F.struct("*").alias("own"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
+    schema = df.schema
 
     def step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value if shared else None
             for b in batches:
                 sizes, spans, items = [], [], []
-                for text, old, named in zip(byte_values(b.column(at)), b.column(len(others) + 1).to_pylist(), b.column(len(others) + 2).to_pylist(), strict=True):
+                for text, old, named in zip(byte_values(b.column(0).field("text")), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words = alphanumeric_words(text)
                     more, found = spans_in(words, index) if index and words else ([], set())
                     sizes.append(len(words))
                     spans.append([x for s in _union([*zip(old[::2], old[1::2], strict=True), *more]) for x in s])
                     items.append(sorted({*named, *(index.block.items[i] for i in found if index.block.items[i] is not None)} if found else named))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
         return run
 
@@ -236,10 +234,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The digest per document that the registered query returns."""
-    found = contamination(documents.select("doc_id", "text"), benchmark, **how)
+    found = contamination(documents.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, **how)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, x: x - total)  # ends minus starts, as x - (y - total) alternates
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        "own.doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
     )
 
@@ -247,4 +245,4 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, **how) -> D
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``documents`` without any hit."""
     found = contamination(documents, benchmark, **how)
-    return found.where(F.size("hit_spans") == 0).select(*documents.columns)
+    return found.where(F.size("hit_spans") == 0).select("own.*")

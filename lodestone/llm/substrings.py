@@ -311,65 +311,56 @@ def _union(spans: list[int] | None) -> list[tuple[int, int]]:
     return out
 
 
-def removed(documents: DataFrame, length: int = 200, **how) -> DataFrame:
-    """Every row's columns with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``.
+def removed(documents: DataFrame, length: int = 200, as_text: bool = False, **how) -> DataFrame:
+    """own (a struct of the row's columns), kept, n_bytes, n_removed and n_spans of every row.
 
-    Only documents with something to remove are shuffled to meet their spans;
-    a bitmap of row hashes tells which these may be.
+    ``kept`` is binary, or with ``as_text`` a string without broken characters.
+    Only documents with something to remove are shuffled to meet their spans; a
+    bitmap of row hashes tells which these may be.
     """
-    added = ("kept", "n_bytes", "n_removed", "n_spans", "spans", "row")
-    others = [c for c in documents.columns if c not in added]
     spans = materialize(repeated_spans(documents, length, **how), "removal_spans")
     shared = documents.sparkSession.sparkContext.broadcast(row_bitmap(spans))  # a fixed number of bits
-    base = documents.select(*others, F.xxhash64("doc_id", "text").alias("row"))
-    at = others.index("text")
+    base = documents.select(F.struct("*").alias("own"), F.xxhash64("doc_id", "text").alias("row"))
+    kind = pa.string() if as_text else pa.binary()
 
     def pick(asked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(in_bitmap(shared.value, b.column(len(others)).to_numpy()) == asked))
+                yield b.filter(pa.array(in_bitmap(shared.value, b.column(1).to_numpy()) == asked))
 
         return run
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, sizes, gone, runs = [], [], [], []
-            for text, parts in zip(byte_values(b.column(at)), b.column(len(others)).to_pylist(), strict=True):
+            for text, parts in zip(byte_values(b.column(0).field("text")), b.column(1).to_pylist(), strict=True):
                 cuts = _union(parts)
                 edges = [0, *(x for c in cuts for x in c), len(text)]
-                kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+                rest = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 sizes.append(len(text))
                 gone.append(sum(z - a for a, z in cuts))
                 runs.append(len(cuts))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=[*others, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, kind), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=["own", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    clean = base.mapInArrow(pick(False), base.schema).drop("row").withColumn("spans", F.lit(None).cast("array<long>"))
-    hit = base.mapInArrow(pick(True), base.schema).join(spans, "row", "left").drop("row")
-    schema = documents.select(*others).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return clean.unionByName(hit.select(*clean.columns)).mapInArrow(apply, schema)
+    clean = base.mapInArrow(pick(False), base.schema).select("own", F.lit(None).cast("array<bigint>").alias("spans"))
+    hit = base.mapInArrow(pick(True), base.schema).join(spans, "row", "left").select("own", F.col("spans").cast("array<bigint>").alias("spans"))
+    schema = base.select("own").schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    return clean.unionByName(hit).mapInArrow(apply, schema)
 
 
 def removal_report(documents: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept, for every row."""
-    return removed(documents.select("doc_id", F.col("text").cast("string").alias("text")), **how).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    done = removed(documents.select("doc_id", F.col("text").cast("string").alias("text")), **how)
+    return done.select("own.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:
     """``documents`` with repeated passages cut out of ``text``; rows that lose all they had go.
 
-    ``n_chars``, if there, follows the new text.
+    ``n_chars``, if there, follows the new text; a null text stays null.
     """
-    done = removed(documents, **how).where("n_bytes = 0 OR n_removed < n_bytes")
-
-    columns = documents.columns
-    at, kept = columns.index("text"), len(columns)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [old if not gone else new.decode("utf-8", "ignore") for old, new, gone in zip(b.column(at).to_pylist(), b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(kept)], names=columns)
-
-    out = done.select(*columns, "kept", "n_removed").mapInArrow(decode, documents.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else out
-
-
+    done = removed(documents, as_text=True, **how).where("n_bytes = 0 OR n_removed < n_bytes")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("own.text"))
+    new = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.col("own.n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    return done.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in documents.columns))
