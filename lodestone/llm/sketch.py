@@ -16,37 +16,41 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import byte_values
 
 
-def _place(tokens: np.ndarray, bits: int, end: int) -> np.ndarray:
-    """Bit of each token below ``end``; rises with the token."""
-    return np.minimum(((tokens >> np.uint64(1)).astype(np.float64) * (bits / (end >> 1))).astype(np.int64), bits - 1)
+def _place(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of each token; rises with the token.  ``bits`` is a power of two."""
+    return (tokens >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
 class Levels:
-    """A bitmap for each frequency level, of hashes below ``end``."""
+    """A bitmap of hashes for each frequency level."""
 
-    def __init__(self, maps: list[np.ndarray], bits: int, end: int):
-        self.maps, self.bits, self.end = maps, bits, end
+    def __init__(self, maps: list[np.ndarray], bits: int):
+        self.maps, self.bits = maps, bits
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """How many of the levels each token reaches."""
-        at = _place(tokens, self.bits, self.end)
-        out = np.zeros(len(tokens), np.int64)
-        for m in self.maps:
-            out += (m[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return out
+        at = _place(tokens, self.bits)
+        byte, bit = at >> 3, (at & 7).astype(np.uint8)
+        out = (self.maps[0][byte] >> bit) & 1
+        some = np.flatnonzero(out)
+        for m in self.maps[1:]:
+            out[some] += (m[byte[some]] >> bit[some]) & 1
+        return out.astype(np.int64)
 
 
-def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels: tuple[int, ...], bits: int, end: int = 1 << 64) -> Levels:
+def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels: tuple[int, ...], bits: int) -> Levels:
     """Count 64-bit tokens over all rows and mark those that reach each of ``levels``.
 
-    ``tokens_of(texts of a batch, memo)`` gives the tokens below ``end``, with
-    repeats.  A task sends, for each range of token values, one block of its
-    distinct tokens with counts, so a frequent token is one entry a batch; a
-    range is merged and marked in one pass over its blocks.  Exact up to 255
-    repeats within a batch, beyond which only "more than 254" matters.
+    ``tokens_of(texts of a batch, memo)`` gives tokens, with repeats.  A task
+    sends, for each range of token values, one block of its distinct tokens with
+    counts, so a frequent token is one entry a batch; a range is merged and
+    marked in one pass over its blocks.  An entry holds the 32 bits after the
+    range's, so of very many tokens a few share an entry and seem more frequent
+    than they are.
     """
     spark = texts.sparkSession
-    ranges = 1 << min(14, max(6, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    power = min(16, max(6, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    ranges = 1 << power
     per = bits // ranges
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,20 +59,21 @@ def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels:
             tokens, counts = np.unique(tokens_of(byte_values(b.column(0)), own), return_counts=True)
             if not len(tokens):
                 continue
-            cut = np.searchsorted(_place(tokens, bits, end) // per, np.arange(ranges + 1))
+            cut = np.searchsorted(tokens >> np.uint64(64 - power), np.arange(ranges + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
+            short = (tokens >> np.uint64(32 - power)).astype(np.uint32)
             counts = np.minimum(counts, 255).astype(np.uint8)
             part = lambda x: pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full), part(tokens), part(counts)], names=["range", "tokens", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(full), part(short), part(counts)], names=["range", "tokens", "counts"])
 
-    def marks(r: int, parts: list[tuple[bytes, bytes]]) -> list[bytes]:
-        tokens = np.concatenate([np.frombuffer(t, np.uint64) for t, _ in parts])
+    def marks(parts: list[tuple[bytes, bytes]]) -> list[bytes]:
+        tokens = np.concatenate([np.frombuffer(t, np.uint32) for t, _ in parts])
         counts = np.concatenate([np.frombuffer(c, np.uint8) for _, c in parts])
         order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         total = np.add.reduceat(counts.astype(np.int64), start)
-        at = _place(tokens[start], bits, end) - r * per
+        at = (tokens[start] >> np.uint32(33 - per.bit_length())).astype(np.int64)
         out = []
         for least in levels:
             m = np.zeros(per, np.uint8)
@@ -82,12 +87,12 @@ def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels:
         for b in batches:
             for r, t, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if r != held and parts:
-                    rows.append((held, marks(held, parts)))
+                    rows.append((held, marks(parts)))
                     parts = []
                 held = r
                 parts.append((t.as_py(), c.as_py()))
         if parts:
-            rows.append((held, marks(held, parts)))
+            rows.append((held, marks(parts)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), *(pa.array([m[i] for _, m in rows], pa.binary()) for i in range(len(levels)))], names=["range", *(f"m{i}" for i in range(len(levels)))])
 
@@ -97,7 +102,7 @@ def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels:
     for row in sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, shape).toLocalIterator():
         for i, m in enumerate(maps):
             m[row["range"] * per // 8 : (row["range"] + 1) * per // 8] = np.frombuffer(row[f"m{i}"], np.uint8)
-    return Levels(maps, bits, end)
+    return Levels(maps, bits)
 
 
 def row_bitmap(rows: DataFrame, bits: int = 1 << 26, column: str = "row") -> np.ndarray:
