@@ -39,11 +39,8 @@ def with_total(df: DataFrame, key: str, name: str = "n", total: str = "TOTAL") -
 
 
 def summary(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
-    """count, mean, median, extremes and the element at floor(0.95 n) of the sorted values."""
-    ordered = df.where(F.col(value).isNotNull()).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.percentile(value, 0.5), digits).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.lit(0.95)).alias("_p")
-    )
-    return ordered.drop("_p")
+    """count, mean, median and extremes of the values that are there."""
+    return df.agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.percentile(value, 0.5), digits).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
 def element_at_share(df: DataFrame, value: str, share: float, keys: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intent -> (primary collections, support collections, secondary collections, secondary budget).
+#: Weights of the confidence signals, the penalty for near duplicates, and the tiers' least scores.
 CONFIDENCE_WEIGHTS = {"top_score": 0.20, "margin": 0.10, "coverage": 0.25, "lexical": 0.20, "diversity": 0.10, "fusion_gain": 0.15}
 NEAR_DUPLICATE_PENALTY = 0.20
 TIER_LIMITS = (("high", 0.7), ("medium", 0.5), ("low", 0.3))
