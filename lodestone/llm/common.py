@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII A-Z to a-z, every other byte as it is.
@@ -16,6 +16,18 @@ UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MASK64 = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch.  Texts are long, so Spark's default of 10,000 makes batches of tens of MB.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, its Arrow batches at most ``BATCH_ROWS`` rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

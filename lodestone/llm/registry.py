@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, hmm, jaccard, licences, packing, quality, substrings, telephony, warc, wrappers
-from lodestone.session import table
+from lodestone.llm.common import bounded_batches
+from lodestone.session import table as plain_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return plain_table(bounded_batches(spark), sf_dir, name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
