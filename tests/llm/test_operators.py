@@ -337,6 +337,8 @@ def test_encoder_equals_the_library():
     tok, encode = Tokenizer.from_file(path), packing.byte_bpe_encoder(packing.vocabulary_ranks(path))
     for t in ("", " ", "a  b", "it's we'll\n\n x", "tab\tx", " nb　sp", "x<|endoftext|>y", "日本 語's 12 34", "end ", "\x1c a\x85b"):
         assert encode(t) == tok.encode(t, add_special_tokens=False).ids
+    for t in ("one\t two three", "name\tvalue\n\nnext line", "one\xa0 two", "x\ty  z", "a\r\nb c", "one two\nthree", " a b", "a b\n"):
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
 
 
 # 9
