@@ -371,7 +371,17 @@ def components(documents: DataFrame, **how) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame, **how) -> DataFrame:
-    """The rows whose doc_id is their component's smallest; one row of each repeated doc_id with words."""
-    found = components(documents, **how)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(drop, "doc_id", "left_anti")
+    """One row of each component: of its smallest doc_id (null comes last), the first as written.
+
+    Of rows without words only repeats of doc_id and text go.  Rows are told
+    apart by a number that is written with them, so rows that share a doc_id
+    are judged each by its own text.
+    """
+    rows = materialize(documents.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("place")), "numbered_rows")
+    name = F.struct(F.col("own.doc_id").isNull().alias("unnamed"), F.col("own.doc_id").alias("doc_id"), "place")
+    found = components(rows.select(name.alias("doc_id"), F.col("own.text").alias("text")), **how)
+    drop = found.where("doc_id.place <> component_id.place").select("doc_id.place")
+    text = F.col("own.text").cast("string")
+    blank = rows.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")).select(F.col("own.doc_id").alias("doc_id"), text.alias("text"), "place")
+    again = blank.select("place").join(blank.groupBy("doc_id", "text").agg(F.min("place").alias("place")), "place", "left_anti")
+    return rows.join(drop.union(again), "place", "left_anti").select("own.*")

@@ -25,6 +25,19 @@ def test_stages(spark):
     assert ids[5] == ids[4]
 
 
+def test_one_of_each(spark):
+    """Repeated rows, null ids and a shared doc_id, through the Jaccard and the substring stage."""
+    text = lambda c: " ".join(f"{c}{i}word" for i in range(60))
+    near = text("a") + " tail"
+    rows = [(1, text("a")), (1, text("a")), (2, near), (2, text("b")), (None, text("c")), (None, text("c")), (3, text("c")), (None, text("d")), (None, text("d")), (4, ""), (4, ""), (5, ""), (4, " "), (6, None), (6, None), (None, None), (None, None)]
+    docs = materialize(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, place string").repartition(3), "rows")
+    kept = materialize(P.keep_distinct(spark, docs, DIR), "kept")
+    assert kept.columns == docs.columns
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (None, text("d")), (4, ""), (5, ""), (4, " "), (6, None), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(((r.doc_id, r.text) for r in P.cut_repeats(spark, kept, DIR).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_registered():
     names = queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
