@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -50,6 +50,29 @@ NOISE_WORDS = frozenset(
     "copyright legal disclaimer pagination pager toolbar sponsor sponsored sponsors promo promotion promoted skip teaser trending complementary contentinfo search searchbox".split()
 )
 MAIN_WORDS = frozenset("main content article post entry story maincontent articlebody postcontent entrycontent articlecontent postbody".split())
+#: Open elements that the start of an element ends, for those whose end tags may be left out.
+_CELLS = frozenset(("td", "th"))
+_GROUPS = frozenset(("thead", "tbody", "tfoot", "caption", "colgroup"))
+CLOSES = {
+    "li": frozenset(("li",)), "option": frozenset(("option",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
+    "td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr", "caption", "colgroup"}, **{g: _CELLS | {"tr"} | _GROUPS for g in _GROUPS},
+}
+
+
+def _run(walk: Callable[..., Generator], *start):
+    """Result of a walk that yields the arguments of the calls it makes; pages nest as deep as they like, so calls wait in a list."""
+    waiting, got = [walk(*start)], None
+    while True:
+        try:
+            call = waiting[-1].send(got)
+        except StopIteration as done:
+            waiting.pop()
+            got = done.value
+            if not waiting:
+                return got
+        else:
+            waiting.append(walk(*call))
+            got = None
 
 
 class Node:
@@ -86,7 +109,7 @@ def parse(html: str) -> Node:
         words = sorted({w for x in _NAMES.finditer(attributes) for w in (x[2] or x[3] or x[4] or "").lower().split()}) if attributes else []
         node = Node(tag, f"{tag}.{' '.join(re.sub(r'[0-9]+', '0', w) for w in words)}" if words else tag, bool(attributes and _HIDDEN.search(attributes)))
         if tag not in INLINE and tag not in VOID:
-            while stack[-1].tag in INLINE or stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+            while stack[-1].tag in INLINE or stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ()):
                 stack.pop()  # a block ends open inline elements and paragraphs
         stack[-1].parts.append(node)
         if tag not in VOID and not attributes.endswith("/"):
@@ -100,20 +123,31 @@ def parse(html: str) -> Node:
 # largest size of the element's own text, ``fixed`` its hash while all pages agree, else None.
 
 
-def _of_node(node: Node) -> list:
+def _alone(node: Node) -> list:
     own = " ".join(" ".join(p for p in node.parts if isinstance(p, str)).split())
-    out = ["", 0, 0, 1, len(own), xxhash.xxh3_64_intdigest(own) >> 1 if own else 0, []]
-    out[0] = node.sig
-    for p in node.parts:
-        if isinstance(p, Node) and p.tag not in INLINE and p.tag not in VOID:
-            _append(out[6], _of_node(p))
-        elif isinstance(p, Node) and p.tag in INLINE:
-            inner = _of_node(p)
-            out[4] += inner[4]
-            out[5] = (out[5] * 31 + inner[5]) & ((1 << 62) - 1)
-            for kid in inner[6]:
-                _append(out[6], kid)
-    return out
+    return [node.sig, 0, 0, 1, len(own), xxhash.xxh3_64_intdigest(own) >> 1 if own else 0, []]
+
+
+def _of_node(node: Node) -> list:
+    stack = [(node, _alone(node), iter(node.parts))]
+    while True:
+        node, out, parts = stack[-1]
+        for p in parts:
+            if isinstance(p, Node) and (p.tag in INLINE or p.tag not in VOID):
+                stack.append((p, _alone(p), iter(p.parts)))
+                break
+        else:
+            stack.pop()
+            if not stack:
+                return out
+            above = stack[-1][1]
+            if node.tag in INLINE:
+                above[4] += out[4]
+                above[5] = (above[5] * 31 + out[5]) & ((1 << 62) - 1)
+                for kid in out[6]:
+                    _append(above[6], kid)
+            else:
+                _append(above[6], out)
 
 
 def _append(kids: list[list], kid: list) -> None:
@@ -127,6 +161,10 @@ def _append(kids: list[list], kid: list) -> None:
 
 def align(a: list, b: list, pages: int | None = None) -> list:
     """One wrapper for both: matched children align, others become optional."""
+    return _run(_aligning, a, b, pages)
+
+
+def _aligning(a: list, b: list, pages: int | None) -> Generator:
     kids: list[list] = []
     left, right = a[6], b[6]
     # longest common subsequence of signatures
@@ -138,7 +176,7 @@ def align(a: list, b: list, pages: int | None = None) -> list:
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and left[i][0] == right[j][0]:
-            kid = align(left[i], right[j])
+            kid = yield left[i], right[j], None
             kid[2] = left[i][2] | right[j][2]
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
@@ -148,7 +186,7 @@ def align(a: list, b: list, pages: int | None = None) -> list:
             kid = [right[j][0], 1, *right[j][2:]]
             j += 1
         if kids and kids[-1][0] == kid[0]:
-            kid = align(kids[-1], kid, pages=max(kids[-1][3], kid[3]))
+            kid = yield kids[-1], kid, max(kids[-1][3], kid[3])
             kid[2] = 1
             kids[-1] = kid
         else:
@@ -157,6 +195,26 @@ def align(a: list, b: list, pages: int | None = None) -> list:
     return [a[0], a[1] | b[1], a[2] | b[2], pages or a[3] + b[3], max(a[4], b[4]), same, kids]
 
 
+def dumps(wrapper: list) -> str:
+    """The wrapper's elements in document order, each with its number of children: JSON of one level at any depth."""
+    flat, stack = [], [wrapper]
+    while stack:
+        w = stack.pop()
+        flat += [*w[:6], len(w[6])]
+        stack += reversed(w[6])
+    return json.dumps(flat)
+
+
+def loads(text: str) -> list:
+    flat, done = json.loads(text), []
+    for i in range(len(flat) - 7, -1, -7):
+        n = flat[i + 6]
+        kids = done[len(done) - n :][::-1]
+        del done[len(done) - n :]
+        done.append([*flat[i : i + 6], kids])
+    return done[0]
+
+
 def _words(sig: str) -> tuple[str, set[str]]:
     tag, _, names = sig.partition(".")
     out = set()
@@ -176,16 +234,32 @@ def is_main(sig: str) -> int:
     return 3 if tag == "article" else 2 if tag == "main" else 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
 
 
+#: Marks of a path.
+ROOT, CONSTANT = 1, 2
+
+
 def article_paths(wrapper: list, least_pages: int = 3) -> list[list]:
-    """Roots of the article in the wrapper as (path, constant paths to leave out)."""
-    found: dict[int, list[list[str]]] = {}
-    variable: dict[tuple[str, ...], int] = {}
-    constant: list[list[str]] = []
+    """Paths of the wrapper to roots of the article and to constant parts that it leaves out.
 
-    def walk(node: list, path: list[str], inside: int) -> int:
+    Paths share their beginnings: an entry is [place of the path it continues
+    (or -1), signature, marks].
+    """
+    places: dict[tuple[int, str], int] = {}
+    tree: list[tuple[int, str, int]] = []
+    found: dict[int, list[int]] = {}
+    variable: dict[int, int] = {}
+    constant: list[int] = []
+
+    def place(above: int, sig: str) -> int:
+        at = places.setdefault((above, sig), len(tree))
+        if at == len(tree):
+            tree.append((above, sig, tree[above][2] + 1 if above >= 0 else 1))
+        return at
+
+    def walk(node: list, above: int, inside: int) -> Generator:
         if is_noise(node[0]):
             return 0
-        here = [*path, node[0]]
+        here = place(above, node[0])
         rank = is_main(node[0])
         if rank > inside:
             found.setdefault(rank, []).append(here)
@@ -193,24 +267,35 @@ def article_paths(wrapper: list, least_pages: int = 3) -> list[list]:
         if fixed and not max(rank, inside):
             constant.append(here)
         size = 0 if fixed else node[4]
-        below = sum(walk(k, here, max(rank, inside)) for k in node[6])
+        below = 0
+        for k in node[6]:
+            below += yield k, here, max(rank, inside)
         paragraphs = sum(k[4] for k in node[6] if k[0].partition(".")[0] in ("p", "h1", "h2", "h3", "blockquote", "pre") and not is_noise(k[0]))
-        variable[tuple(here)] = size + paragraphs
+        variable[here] = size + paragraphs
         return size + below
 
-    walk(wrapper, [], 0)
+    _run(walk, wrapper, -1, 0)
     if found:
-        return [found[max(found)], []]
-    best = max(variable, key=lambda p: (variable[p], -len(p)), default=("#",))
-    return [[list(best)], constant]
+        marks = dict.fromkeys(found[max(found)], ROOT)
+    else:
+        marks = dict.fromkeys(constant, CONSTANT)
+        best = max(variable, key=lambda p: (variable[p], -tree[p][2])) if variable else place(-1, "#")
+        marks[best] = marks.get(best, 0) | ROOT
+    needed: set[int] = set()
+    for p in marks:
+        while p >= 0 and p not in needed:
+            needed.add(p)
+            p = tree[p][0]
+    new = {p: i for i, p in enumerate(sorted(needed))}
+    return [[new.get(tree[p][0], -1), tree[p][1], marks.get(p, 0)] for p in new]
 
 
 def extract(root: Node, paths: list[list]) -> str:
     """The article's text of a page, by its host's wrapper."""
-    roots = {tuple(p) for p in paths[0]}
-    constant = {tuple(p) for p in paths[1]}
+    onward = {(above, sig): i for i, (above, sig, _) in enumerate(paths)}
     blocks: list[str] = []
     buffer: list[str] = []
+    stack: list[tuple] = []
 
     def flush() -> None:
         if buffer:
@@ -219,29 +304,34 @@ def extract(root: Node, paths: list[list]) -> str:
                 blocks.append(text)
             buffer.clear()
 
-    def walk(node: Node, path: tuple[str, ...], inside: bool) -> None:
+    def enter(node: Node, at: int, inside: bool) -> bool:
         if node.hidden or is_noise_cached(node.sig):
-            return
+            return False
         inline = node.tag in INLINE
-        here = path if inline else (*path, node.sig)
-        inside = inside or here in roots
         if not inline:
+            at = onward.get((at, node.sig), -2)  # -2: on none of the paths
             flush()
-        keep = inside and here not in constant
-        for p in node.parts:
+        mark = paths[at][2] if at >= 0 else 0
+        inside = inside or bool(mark & ROOT)
+        stack.append((iter(node.parts), at, inside, inside and not mark & CONSTANT, inline))
+        return True
+
+    enter(root, -1, False)
+    while stack:
+        parts, at, inside, keep, inline = stack[-1]
+        for p in parts:
             if isinstance(p, str):
                 if keep:
                     buffer.append(p)
             elif p.tag in VOID:
                 if p.tag in ("br", "hr"):
                     flush()
-            else:
-                walk(p, here, inside)
-        if not inline:
-            flush()
-
-    walk(root, (), False)
-    flush()
+            elif enter(p, at, inside):
+                break
+        else:
+            stack.pop()
+            if not inline:
+                flush()
     return " ".join(blocks)
 
 
@@ -281,7 +371,7 @@ def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000) -> DataFrame:
         yield send(held)
 
     def send(held: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, held = None, None
@@ -290,7 +380,7 @@ def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000) -> DataFrame:
                 if name != host and held is not None:
                     yield send({host: held})
                     held = None
-                held = json.loads(text) if held is None else align(held, json.loads(text))
+                held = loads(text) if held is None else align(held, loads(text))
                 host = name
         if held is not None:
             yield send({host: held})
@@ -312,7 +402,7 @@ def extract_articles(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataF
     lean = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     shared = None
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["host"]: article_paths(json.loads(r["wrapper"])) for r in wrappers.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r["host"]: article_paths(loads(r["wrapper"])) for r in wrappers.toLocalIterator()})
         lean = lean.withColumn("wrapper", F.lit(None).cast("string"))
     else:
         host = F.udf(lambda u: host_of(u), "string")
@@ -332,7 +422,7 @@ def extract_articles(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataF
                     if wrapper not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[wrapper] = article_paths(json.loads(wrapper))
+                        known[wrapper] = article_paths(loads(wrapper))
                     paths = known[wrapper]
                 root = parse(html)
                 texts.append(extract(root, paths) or extract(root, article_paths(_of_node(root))))  # a page that lacks what its host's others have

@@ -371,6 +371,20 @@ def test_wrapper_groups():
 # 10
 
 
+def test_deep_pages(spark):
+    """Tables and lists without end tags stay flat; real depth ends nothing."""
+    rows = "".join(f"<tr><td>r{i}<td>x{i}" for i in range(2000))
+    pairs = "".join(f"<dt>t{i}<dd>d{i}" for i in range(500))
+    htmls = [f"<article><table><thead><tr><th>h<tbody>{rows}</table></article>", f"<main><dl>{pairs}</dl></main>", "<div>" * 5000 + "deep {}", "<span>" * 5000 + "deep {}"]
+    texts = ["h " + " ".join(f"r{i} x{i}" for i in range(2000)), " ".join(f"t{i} d{i}" for i in range(500)), "deep {}", "deep {}"]
+    pages = spark.createDataFrame([(10 * k + i, f"http://h{k}.example/", h.format(i)) for k, h in enumerate(htmls) for i in range(3)], "page_id long, url string, html string")
+    for limit in (32 << 20, 0):
+        got = {r.page_id: r.text for r in wrappers.extract_articles(pages, limit).collect()}
+        assert got == {10 * k + i: t.format(i) for k, t in enumerate(texts) for i in range(3)}
+    table = wrappers._of_node(wrappers.parse(htmls[0]))[6][0][6][0]
+    assert [k[0] for k in table[6]] == ["thead", "tbody"] and [k[0] for k in table[6][1][6]] == ["tr"] and [k[0] for k in table[6][1][6][0][6]] == ["td"]
+
+
 def test_archives(spark):
     rows = [(i, f"http://h{i % 3}.example/{i}?q=ä", "<p>" + "x" * (i % 7) + "é\r\n\r\n") for i in range(40)] + [(40, None, None), (41, "::", ""), (None, "http://z/", "only"), (7, "http://other/", "<p>é\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
