@@ -1,5 +1,7 @@
 """Streams give what the batch form gives."""
 
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -37,5 +39,22 @@ def test_limiter_state(spark, tmp_path):
     assert {d: round(v, 9) for d, v in out.items()} == got
 
 
+def test_limiter_slices(spark):
+    """A key with most requests is cut into slices; their fold is the fold of all its requests."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else f"d{i % 40}", float(rng.randrange(9000)), i, rng.choice(["ok", "ok", "ok", "ok", "error", "refused", "other", None])) for i in range(6000)]
+    rows += [("calm", float(i), i, "other" if i % 300 else "ok") for i in range(3000)] + [(None, 1.0, 1, "refused")]
+    batch = spark.createDataFrame(rows, "domain string, ts double, seq long, outcome string").repartition(3)
+    want, n = {}, Counter(r[0] for r in rows)
+    for d, _, _, o in sorted(rows, key=lambda r: r[1:3]):
+        want[d] = limiter.next_delay(want.get(d, limiter.START), o)
+    for bits in (12, 3):
+        got = {r.domain: (r.delay, r.n) for r in limiter.delays(batch, bits=bits).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(v - want[d]) < 2e-9 and c == n[d] for d, (v, c) in got.items())
+    cut = limiter.slices(batch, bits=3).collect()
+    assert len([r for r in cut if r.domain == "hot"]) > 1 and max(r.n for r in cut) <= 64
+
+
 def test_metric_keys(spark):
     assert metrics.rates(spark.createDataFrame([("error", 1.0)], "event_type string, value double")).first().refusals == 1
