@@ -5,7 +5,7 @@ All are Columns, so they stay in generated code and can be pushed and fused.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning of their own.
@@ -104,6 +104,40 @@ def stable_id(prefix: str, parts: list, text) -> Column:
     return F.concat_ws("_", F.lit(prefix), *(_col(p).cast("string") for p in parts), F.substring(F.sha2(norm, 256), 1, 12))
 
 
+#: Outdated legal terms in the order in which they are corrected: term, its correction, confidence.
+TERM_CORRECTIONS = (
+    ("datainspektionen", "Integritetsskyddsmyndigheten (IMY)", 0.95),
+    ("personuppgiftslagen", "GDPR och Dataskyddslagen (2018:218)", 0.98),
+    ("pul", "GDPR och Dataskyddslagen (2018:218)", 0.99),
+    ("pressfrihetslagen", "Tryckfrihetsförordningen (TF)", 0.92),
+    ("grundlagen", "Regeringsformen (RF)", 0.90),
+    ("offentlighetslagen", "Offentlighets- och sekretesslagen (OSL)", 0.93),
+    ("sekretesslagen", "Offentlighets- och sekretesslagen (OSL)", 0.94),
+    ("barnkonventionen", "Barnkonventionen (SFS 2018:1197)", 0.91),
+    ("diskrimineringsombudsmannen", "Diskrimineringsombudsmannen (DO)", 0.88),
+    ("jämställdhetsombudsmannen", "Diskrimineringsombudsmannen (DO)", 0.88),
+    ("handikappombudsmannen", "Diskrimineringsombudsmannen (DO)", 0.88),
+    ("konsumentombudsmannen", "Konsumentverket", 0.85),
+    ("konstitutionsutskottet", "Konstitutionsutskottet (KU)", 0.86),
+)
+
+
+def correct_terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` corrected term by term, each seeing the output of those before it.
+
+    Adds n (occurrences), terms (different ones) and confidence (their mean, 1 if there are none).
+    """
+    out = df.withColumns({"n": F.lit(0).cast("long"), "terms": F.lit(0).cast("long"), "confidence": F.lit(0.0)})
+    for term, corrected, confidence in TERM_CORRECTIONS:
+        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])"
+        here = F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+        out = out.withColumns({
+            text: F.regexp_replace(text, pattern, corrected), "n": F.col("n") + here,
+            "terms": F.col("terms") + (here > 0).cast("long"), "confidence": F.col("confidence") + F.when(here > 0, confidence).otherwise(0.0),
+        })
+    return out.withColumn("confidence", F.when(F.col("terms") > 0, F.col("confidence") / F.col("terms")).otherwise(1.0))
+
+
 def short_hash(value, size: int = 16) -> Column:
     return F.substring(F.sha2(_col(value), 256), 1, size)
 

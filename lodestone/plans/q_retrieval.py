@@ -83,6 +83,23 @@ def _(t: Tables):
     return _bm25(t).join(asked, "doc_id", "left_semi").select("query_id", "doc_id", "bm25")
 
 
+@query(
+    "d16b_bm25_of_listed",
+    f"""WITH c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS place FROM (SELECT DISTINCT item_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM benchmark) JOIN (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents) USING (term) GROUP BY 1, 2),
+    l AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS n FROM c WHERE place <= 20), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM ({_BM25}))
+    SELECT query_id, doc_id, bm25 FROM b JOIN l USING (query_id, doc_id) WHERE rank <= least(10 * n, 1000)""",
+)
+def _(t: Tables):
+    """Scores of a candidate list (the documents with most of a query's terms) among the first min(10 n, 1000) by BM25."""
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.tokens("text"))).alias("term")).distinct()
+    held = t("documents").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
+    shared = held.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
+    listed = R.top_k(shared, ["query_id"], [F.desc("shared"), F.col("doc_id")], 20).select("query_id", "doc_id")
+    sizes = listed.groupBy("query_id").agg(F.count("*").alias("n"))
+    first = R.top_k(_bm25(t), ["query_id"], [F.desc("bm25"), F.col("doc_id")], 1000)
+    return first.join(listed.join(sizes, "query_id"), ["query_id", "doc_id"]).where("rank <= least(10 * n, 1000)").select("query_id", "doc_id", "bm25")
+
+
 @query(
     "j13_coverage_and_overlap",
     """WITH u AS (SELECT conv_id, list_distinct(list_filter(regexp_extract_all(lower(min_by(text, turn)), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$'))) AS words FROM conversations WHERE role = 'user' GROUP BY 1),

@@ -104,6 +104,12 @@ def _(t: Tables):
     return t("documents").where("lang = 'en'").select("doc_id", (fixed == F.col("text")).alias("unchanged"), n.cast("long").alias("n"))
 
 
+@query("i38b_all_terms")
+def _(t: Tables):
+    fixed = X.correct_terms(t("documents").select("doc_id", "text"))
+    return fixed.select("doc_id", F.md5("text").alias("corrected_md5"), "n", "terms", F.round("confidence", 6).alias("confidence"))
+
+
 @query("i42_context_block", "SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || left(text, 40), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def _(t: Tables):
     line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.substring("text", 1, 40))
@@ -137,6 +143,11 @@ def _(t: Tables):
     return t("documents").where("lang IN ('en', 'de')").select(X.stable_id("doc", ["lang", "doc_id"], "text").alias("id"))
 
 
+@query("i55b_stable_id_all_languages", "SELECT 'doc_' || lang || '_' || doc_id || '_' || substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 12) AS id FROM documents")
+def _(t: Tables):
+    return t("documents").select(X.stable_id("doc", ["lang", "doc_id"], "text").alias("id"))
+
+
 @query("i56_point_id", "SELECT doc_id, md5(source || ':' || doc_id) AS point FROM documents")
 def _(t: Tables):
     return t("documents").select("doc_id", F.md5(F.concat_ws(":", "source", "doc_id")).alias("point"))
