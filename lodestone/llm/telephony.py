@@ -1,14 +1,16 @@
 """Media columns of telephony audio: G.711 mu-law and A-law, IMA ADPCM, PCM.
 
-``encode_media`` stores a payload losslessly as the 8-bit codes of a RIFF file,
-``read_media`` reads the stored bytes back, ``decode_media`` expands the codes
-by lookup tables (G.711) or decodes ADPCM with numpy across all blocks of a
-batch, resamples, and gives 16-bit PCM as a column of its own.
-
-Defined results.  A null or empty text is a payload of 64 zero bytes; any other
-is padded with zero bytes to a multiple of 64.  Equal texts give equal values
-wherever they stand.  A stored value that is no RIFF file of a known codec
-gives nulls.  Other columns of the input pass through untouched.
+``encode_media`` stores a payload losslessly as the 8-bit codes of a RIFF file.
+``decode_media`` reads stored files: it expands G.711 codes by lookup tables,
+decodes ADPCM with numpy across all blocks of many rows, resamples, and gives
+16-bit PCM as a column beside digests of the stored bytes.  ``store_media``
+writes both tables, so what it returns comes from stored bytes.
+
+Defined results.  A null or empty text is a payload of 64 zero bytes; any other,
+however long, is padded with zero bytes to a multiple of 64.  Equal texts give
+equal values wherever they stand.  A stored value that is no RIFF file of a
+known codec gives nulls.  A row's own columns travel as the struct ``own``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import byte_values
+from lodestone.storage import materialize
 
 #: RIFF format tags, fixed by the file format.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 0x11}
 BLOCK = 64
+#: Samples of an ADPCM block: one in its head and two a byte of its body.
+PER_BLOCK = 1 + 2 * (BLOCK - 4)
 #: IMA ADPCM index adjustments, fixed by the codec.
 INDEX_STEPS = (-1, -1, -1, -1, 2, 4, 6, 8)
 
@@ -84,15 +90,17 @@ def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def adpcm_encode(pcm: np.ndarray, block_bytes: int = BLOCK) -> np.ndarray:
-    """IMA ADPCM blocks of 16-bit PCM, encoded across blocks; the last block is filled with its last sample."""
-    per = 1 + 2 * (block_bytes - 4)
-    pcm = np.asarray(pcm, np.int32)
-    if not len(pcm):
-        return np.zeros((0, block_bytes), np.uint8)
+def in_blocks(pcm: np.ndarray, per: int = PER_BLOCK) -> np.ndarray:
+    """Samples as rows of one block each; the last is filled with the last sample."""
     rows = -(-len(pcm) // per)
-    x = np.concatenate([pcm, np.full(rows * per - len(pcm), pcm[-1], np.int32)]).reshape(rows, per)
-    out = np.zeros((rows, block_bytes), np.uint8)
+    return np.concatenate([pcm, np.full(rows * per - len(pcm), pcm[-1] if len(pcm) else 0, np.int16)]).reshape(rows, per)
+
+
+def adpcm_encode(x: np.ndarray) -> np.ndarray:
+    """IMA ADPCM blocks of samples given by block, encoded across all blocks."""
+    rows, per = x.shape
+    x = x.astype(np.int32)
+    out = np.zeros((rows, 4 + (per - 1) // 2), np.uint8)
     out[:, :2] = np.ascontiguousarray(x[:, 0].astype("<i2")).view(np.uint8).reshape(rows, 2)
     value, index = x[:, 0].copy(), np.zeros(rows, np.int32)
     adjust = np.array(INDEX_STEPS * 2, np.int32)
@@ -112,21 +120,32 @@ def adpcm_encode(pcm: np.ndarray, block_bytes: int = BLOCK) -> np.ndarray:
     return out
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the sampling rate: the samples, and between them a 4-tap interpolation in integers."""
-    if not len(pcm):
+def alaw_encode(pcm: np.ndarray) -> np.ndarray:
+    """The A-law code nearest to each sample."""
+    table = alaw_table().astype(np.int32)
+    order = np.argsort(table, kind="stable")
+    middle = (table[order][1:] + table[order][:-1]) / 2
+    return order[np.searchsorted(middle, pcm)].astype(np.uint8)
+
+
+def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Samples at another rate: smoothed if it is lower, interpolated in integers."""
+    if not len(pcm) or rate == target:
         return pcm.astype(np.int16)
-    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
-    between = (9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4
-    out = np.empty(2 * len(pcm), np.int16)
-    out[0::2], out[1::2] = pcm, np.clip(between, -32768, 32767)
-    return out
+    up, down = target // gcd(rate, target), rate // gcd(rate, target)
+    x = pcm.astype(np.int64)
+    if down > up:
+        y = np.concatenate([x[:1], x, x[-1:]])
+        x = (y[:-2] + 2 * y[1:-1] + y[2:] + 2) >> 2
+    at = np.arange(-(-len(x) * up // down)) * down
+    base, part = at // up, at % up
+    return ((x[base] * (up - part) + x[np.minimum(base + 1, len(x) - 1)] * part) // up).astype(np.int16)
 
 
 def riff(codec: str, data: bytes, rate: int = 8000) -> bytes:
     """A RIFF/WAVE file around the codes of one channel."""
     align = BLOCK if codec == "adpcm" else 2 if codec == "pcm" else 1
-    per = 1 + 2 * (BLOCK - 4)
+    per = PER_BLOCK
     speed = rate * BLOCK // per if codec == "adpcm" else rate * align
     extra = struct.pack("<HH", 2, per) if codec == "adpcm" else struct.pack("<H", 0) if codec != "pcm" else b""
     form = struct.pack("<HHIIHH", TAGS[codec], 1, rate, speed, align, {"adpcm": 4, "pcm": 16}.get(codec, 8)) + extra
@@ -167,36 +186,16 @@ def padded(text: bytes) -> bytes:
 
 
 def encode_media(df: DataFrame, text: str = "text", codec: str = "mulaw", rate: int = 8000) -> DataFrame:
-    """``df`` with ``media`` (binary RIFF file of the padded text) and ``n_bytes`` in place of ``text``."""
-    others = [c for c in df.columns if c not in (text, "media", "n_bytes")]
-    lean = df.select(*others, F.col(text).cast("string").alias("_text"))
+    """own (a struct of the row's other columns), n_bytes and media: a RIFF file whose codes are the padded text."""
+    lean = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("own"), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = list(byte_values(b.column(len(others))))
+            texts = list(byte_values(b.column(1)))
             media = pa.array([riff(codec, padded(t), rate) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), media], names=[*others, "n_bytes", "media"])
-
-    schema = lean.drop("_text").schema.add("n_bytes", "long").add("media", "binary")
-    return lean.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), media], names=["own", "n_bytes", "media"])
 
-
-def decode_media(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
-    """``df`` with ``pcm``: a RIFF file of 16-bit samples at twice the stored rate."""
-
-    def one(value: bytes | None) -> bytes | None:
-        got = unriff(value)
-        return riff("pcm", resample_double(decode(got[0], got[2])).astype("<i2").tobytes(), 2 * got[1]) if got else None
-
-    names = [c for c in df.columns if c != pcm]
-    at = names.index(media)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(x.as_py()) for x in b.column(at)], pa.binary())], names=[*names, pcm])
-
-    lean = df.select(*names)
-    return lean.mapInArrow(run, lean.schema.add(pcm, "binary"))
+    return lean.mapInArrow(run, lean.select("own").schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def _wave(pcm: np.ndarray) -> str:
@@ -205,54 +204,68 @@ def _wave(pcm: np.ndarray) -> str:
     return f"n={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum()) // max(1, len(x))};turns={turns};crc={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
-def media_digests(df: DataFrame, media: str = "media", chunk_bytes: int = 1 << 20) -> DataFrame:
-    """Per row, from the stored bytes alone: payload size, SHA-256 and tail CRC, the stored form's, and a feature.
+def _over_adpcm(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Each row's samples after ADPCM, coded and decoded with the blocks of its neighbours."""
+    blocks = [in_blocks(x) for x in rows]
+    back = adpcm_decode(adpcm_encode(np.concatenate(blocks)))
+    ends = np.cumsum([len(x) for x in blocks])
+    return [part.reshape(-1)[: len(x)] for part, x in zip(np.split(back, ends[:-1]), rows, strict=True)]
+
 
-    The feature describes the resampled PCM under the stored codec, and what
-    the same codes give as A-law and as ADPCM blocks.  ADPCM is decoded across
-    the blocks of many rows at once, in runs of ``chunk_bytes``.
+DIGESTS = (("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"), ("pcm", pa.binary(), "binary"))
+
+
+def decode_media(df: DataFrame, rate: int = 6000, chunk_samples: int = 1 << 20) -> DataFrame:
+    """own, n_bytes and, from the stored bytes alone: the payload's size, SHA-256 and tail CRC, those of the stored form, a feature, and ``pcm``.
+
+    ``pcm`` is a RIFF file of 16-bit samples at ``rate``.  The feature describes
+    it, and the samples after A-law and after ADPCM; ADPCM goes across the
+    blocks of many rows at once, in runs of ``chunk_samples``.
     """
-    others = [c for c in df.columns if c != media]
-    lean = df.select(*others, media)
-    fields = (("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"))
+    lean = df.select("own", "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alaw = alaw_table()
+        over_alaw = alaw[alaw_encode(mulaw_table())]  # what A-law makes of each mu-law code
+
+        def rows_of(values: list[bytes | None]) -> list[tuple]:
+            files = [unriff(x) for x in values]
+            waves = [decode(f[0], f[2]) if f else None for f in files]
+            coded = iter(_over_adpcm([w for w in waves if w is not None]) if any(f for f in files) else ())
+            rows = []
+            for value, got, wave in zip(values, files, waves, strict=True):
+                if got is None:
+                    rows.append((None,) * len(DIGESTS))
+                    continue
+                codec, own_rate, data = got
+                pcm = resample(wave, own_rate, rate)
+                a = over_alaw[np.frombuffer(data, np.uint8)] if codec == "mulaw" else alaw[alaw_encode(wave)]
+                feature = f"{codec}@{own_rate}>{rate}:{_wave(pcm)}|alaw:{_wave(a)}|adpcm:{_wave(next(coded))}"
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature, riff("pcm", pcm.astype("<i2").tobytes(), rate)))
+            return rows
 
-        def block_waves(rows: list[bytes]) -> list[str]:
-            """Of each row's whole blocks, decoded with those of its neighbours."""
-            out: list[str] = []
+        for b in batches:
+            sizes = [len(x.as_py() or b"") for x in b.column(2)] if len(b) else []
             start = 0
-            while start < len(rows):
+            while start < len(b) or not len(b):
                 stop, size = start, 0
-                while stop < len(rows) and (stop == start or size + len(rows[stop]) <= chunk_bytes):
-                    size += len(rows[stop])
+                while stop < len(b) and (stop == start or size + sizes[stop] <= chunk_samples):
+                    size += sizes[stop]
                     stop += 1
-                whole = [x[: len(x) // BLOCK * BLOCK] for x in rows[start:stop]]
-                pcm = adpcm_decode(np.frombuffer(b"".join(whole), np.uint8).reshape(-1, BLOCK)).reshape(-1)
-                ends = np.cumsum([len(x) // BLOCK * (1 + 2 * (BLOCK - 4)) for x in whole])
-                out += [_wave(x) for x in np.split(pcm, ends[:-1])]
+                rows = rows_of([x.as_py() for x in b.column(2)[start:stop]])
+                columns = list(zip(*rows, strict=True)) or [()] * len(DIGESTS)
+                part = b.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, (_, t, _) in zip(columns, DIGESTS, strict=True))], names=["own", "n_bytes", *(f[0] for f in DIGESTS)])
                 start = stop
-            return out
+                if not len(b):
+                    break
 
-        for b in batches:
-            values = [x.as_py() for x in b.column(len(others))]
-            files = [unriff(x) for x in values]
-            blocks = iter(block_waves([f[2] for f in files if f]))
-            rows = []
-            for value, got in zip(values, files, strict=True):
-                if got is None:
-                    rows.append((None,) * 6)
-                    continue
-                codec, rate, data = got
-                block = next(blocks)
-                wave = _wave(resample_double(decode(codec, data)))
-                feature = f"{codec}@{2 * rate}:{wave}|alaw:{_wave(alaw[np.frombuffer(data, np.uint8)])}|adpcm:{block}"
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=[*others, *(f[0] for f in fields)])
-
-    schema = lean.drop(media).schema
-    for name, _, kind in fields:
+    schema = lean.select("own", "n_bytes").schema
+    for name, _, kind in DIGESTS:
         schema = schema.add(name, kind)
     return lean.mapInArrow(run, schema)
+
+
+def store_media(df: DataFrame, text: str = "text", codec: str = "mulaw", rate: int = 6000) -> DataFrame:
+    """The table of resampled PCM with its digests, as ``decode_media`` gives it, decoded from the written media table and written itself."""
+    return materialize(decode_media(materialize(encode_media(df, text, codec), "media"), rate), "pcm")
