@@ -9,12 +9,14 @@ applies the length and positional bounds (the window must begin and end inside
 the document) and verifies the words of the whole window.
 
 The benchmark is the stated query set.  It comes to the tasks in blocks of at
-most ``block_bytes`` of text, each a broadcast of bounded size; documents are
-never shuffled, so no hot key gathers anywhere.
-
-Defined results.  Null or empty texts have no words: n_words 0, no hit.  A null
-item_id is never reported but its windows still mark hits.  Repeated documents
-each get their row; repeated items count by distinct id.
+most ``block_bytes`` of text, each a broadcast of bounded size (longer items in
+parts); documents are never shuffled, so no hot key gathers anywhere.
+
+Defined results.  Null or empty texts have no words: n_words 0, no hit.  Texts
+of any length are taken whole.  A null item_id is never reported but its windows
+still mark hits.  Repeated documents each get their row; repeated items count by
+distinct id.  Of equally rare shingles the first is the prefix.  A row's own
+columns travel as one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,29 +69,29 @@ def build_block(rows: list[tuple[str | None, bytes]], window: int = WINDOW) -> I
     return ItemBlock(vocabulary, groups, items)
 
 
-def shingle_codes(ids: np.ndarray, size: int, base: int) -> np.ndarray:
-    """One number for each run of ``size`` ids; -1 where a word is unknown."""
+def shingle_codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 62-bit hash of each run of ``size`` ids; -1 where a word is unknown.
+
+    Runs that share a hash cost a comparison: words decide in the end.
+    """
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    code, known = np.zeros(n, np.int64), np.ones(n, bool)
+    code, known = np.zeros(n, np.uint64), np.ones(n, bool)
     for i in range(size):
         part = ids[i : i + n]
-        code = code * base + part
+        code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
         known &= part > 0
-    return np.where(known, code, -1)
-
-
-def _sizes(block: ItemBlock, shingle: int) -> list[int]:
-    return sorted({min(shingle, size) for size, _, _ in block.groups})
+    code = (code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(2)
+    return np.where(known, code.astype(np.int64), -1)
 
 
 def _known_codes(block: ItemBlock, shingle: int) -> dict[int, np.ndarray]:
     """Sorted distinct shingle codes of the windows, by shingle size."""
-    base, out = len(block.vocabulary) + 1, {}
+    out: dict[int, list] = {}
     for size, windows, _ in block.groups:
         k = min(shingle, size)
-        codes = [shingle_codes(w, k, base) for w in windows]
+        codes = [shingle_codes(w, k) for w in windows]
         out.setdefault(k, []).extend(codes)
     return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
@@ -99,13 +101,13 @@ def _counts(documents: DataFrame, shared, known, shingle: int) -> dict[int, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        base, codes = len(block.vocabulary) + 1, _known_codes(block, shingle)
+        codes = _known_codes(block, shingle)
         totals = {k: np.zeros(len(v), np.int64) for k, v in codes.items()}
         for b in batches:
             for text in byte_values(b.column(0)):
                 ids = block.ids(alphanumeric_words(text))
                 for k, v in codes.items():
-                    have = shingle_codes(ids, k, base)
+                    have = shingle_codes(ids, k)
                     have = have[have >= 0]
                     at = np.minimum(np.searchsorted(v, have), len(v) - 1)
                     np.add.at(totals[k], at[v[at] == have], 1)
@@ -130,11 +132,11 @@ class PrefixIndex:
 
 
 def prefix_index(block: ItemBlock, counts: dict[int, np.ndarray], shingle: int) -> PrefixIndex:
-    base, known = len(block.vocabulary) + 1, _known_codes(block, shingle)
+    known = _known_codes(block, shingle)
     parts = []
     for size, windows, owners in block.groups:
         k = min(shingle, size)
-        codes = np.array([shingle_codes(w, k, base) for w in windows])
+        codes = np.array([shingle_codes(w, k) for w in windows])
         rarity = counts[k][np.searchsorted(known[k], codes)]
         offset = rarity.argmin(axis=1)  # ties: the first
         prefix = codes[np.arange(len(codes)), offset]
@@ -146,11 +148,10 @@ def prefix_index(block: ItemBlock, counts: dict[int, np.ndarray], shingle: int)
 def spans_in(words: list[bytes], index: PrefixIndex) -> tuple[list[tuple[int, int]], set[int]]:
     """Word ranges of occurring windows, and the items they belong to."""
     ids = index.block.ids(words)
-    base = len(index.block.vocabulary) + 1
     starts: list[tuple[int, int]] = []
     items: set[int] = set()
     for size, k, codes, offset, windows, owners in index.parts:
-        have = shingle_codes(ids, k, base)
+        have = shingle_codes(ids, k)
         at = np.flatnonzero(have >= 0)
         left = np.searchsorted(codes, have[at], "left")
         right = np.searchsorted(codes, have[at], "right")
@@ -181,17 +182,35 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(text: bytes, most: int, window: int) -> Iterator[bytes]:
+    """A text's words in parts of about ``most`` bytes that overlap by all but one word of a window."""
+    if len(text) <= most:
+        yield text
+        return
+    words = alphanumeric_words(text)
+    at = 0
+    while True:
+        end, size = at, 0
+        while end < len(words) and (size <= most or end < at + window):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[at:end])
+        if end == len(words):
+            return
+        at = end - window + 1
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20, window: int = WINDOW) -> Iterator[ItemBlock]:
-    """The query set in blocks of at most ``block_bytes`` of text (a longer item is a block of its own)."""
+    """The query set in blocks of about ``block_bytes`` of text; a longer item comes in parts, each window in one of them."""
     rows: list[tuple[str | None, bytes]] = []
     size = 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        text = (r["t"] or "").encode()
-        if rows and size + len(text) > block_bytes:
-            yield build_block(rows, window)
-            rows, size = [], 0
-        rows.append((r["i"], text))
-        size += len(text)
+        for text in _parts((r["t"] or "").encode(), block_bytes, window):
+            if rows and size + len(text) > block_bytes:
+                yield build_block(rows, window)
+                rows, size = [], 0
+            rows.append((r["i"], text))
+            size += len(text)
     if rows:
         yield build_block(rows, window)
 
@@ -222,8 +241,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         if not block.groups:
             continue
         any_block = True
-        if (len(block.vocabulary) + 1) ** shingle >= 1 << 62:
-            raise ValueError("a block's vocabulary is too large for its shingle codes; lower block_bytes")
         shared = spark.sparkContext.broadcast(block)  # at most block_bytes of text
         counts = _counts(documents, shared, _known_codes(block, shingle), shingle)
         index = spark.sparkContext.broadcast(prefix_index(block, counts, shingle))
