@@ -1,18 +1,21 @@
 """License scans by a positional rare-token index, in DataFrame expressions alone.
 
 Method.  Templates are word sequences of licence notices.  The index holds, for
-each template, its licence word with the highest inverse document frequency
-(counted over all documents) and that word's place.  A file's occurrences of
-indexed words give candidate places of whole templates; the postings of the
-template's other rare words must agree with that place, and a mandatory key
-phrase must stand there word for word.  The score is the share of the template's
-weight, by inverse document frequency, that stands in place.
+each template, the ``rare`` words of its whole notice with the highest inverse
+document frequency (counted over all documents) and their places.  Each file's
+occurrences of indexed words are looked up; a posting and an occurrence give a
+relative place of the template in the file, and places on which at least
+``agree`` of its rare words fall together remain.  There a mandatory key phrase
+must stand word for word, and at least ``least_share`` of the template's weight,
+by inverse document frequency, must stand in place.  That share is the score.
 
 Work per file is linear in its words and in candidates, and nothing is shuffled
 but the counts of the templates' few words.
 
 Defined results.  Null and empty texts have no words, no labels and score 0.
 Overlapping and repeated notices all count as places; labels are distinct.
+Texts of any length are read whole.  Of equally rare words the earlier in the
+notice is indexed.  Columns beyond doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -42,6 +45,11 @@ TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice", "must retain the above copyright notice this list of conditions"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "this permission notice appear in all copies"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "to deal in the software without restriction"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
@@ -67,11 +75,17 @@ def document_frequencies(documents: DataFrame, vocabulary: list[str]) -> tuple[i
     return counts.pop("", 0), counts
 
 
-def scan(documents: DataFrame, templates=TEMPLATES, agree: int = 2) -> DataFrame:
+def rare_places(words: list[str], idf: dict[str, float], rare: int) -> list[int]:
+    """Places of a notice's rarest different words; ties go to the earlier."""
+    first = {w: i for i, w in reversed(list(enumerate(words)))}
+    return sorted(first.values(), key=lambda i: (-idf[words[i]], i))[:rare]
+
+
+def scan(documents: DataFrame, templates=TEMPLATES, rare: int = 3, agree: int = 2, least_share: float = 0.5) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
 
-    agree: rare words of a template (the indexed one included) that must stand
-    in place before the key phrase is verified.
+    rare: indexed words of a template.  agree: how many of them must agree on a
+    relative place.  least_share: of a template's weight that must stand there.
     """
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     rows, df = document_frequencies(documents, vocabulary)
@@ -81,13 +95,13 @@ def scan(documents: DataFrame, templates=TEMPLATES, agree: int = 2) -> DataFrame
     for n, (label, notice, key) in enumerate(templates):
         words, phrase = notice.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        # rare words of the key phrase, which a true place always has; ties go to the earlier
-        rare = sorted(range(at, at + len(phrase)), key=lambda i: (-idf[words[i]], i))[: max(agree, 1)]
+        places = rare_places(words, idf, rare)
         whole = sum(idf[w] for w in words)
-        index.setdefault(words[rare[0]], []).append((n, rare[0]))
-        others = ", ".join(f"named_struct('w', {_text(words[i])}, 'p', {i})" for i in rare[1:]) or "named_struct('w', '', 'p', 0)"
+        for i in places:
+            index.setdefault(words[i], []).append((n, i))
+        indexed = ", ".join(f"named_struct('w', {_text(words[i])}, 'p', {i})" for i in places)
         weights = ", ".join(f"named_struct('w', {_text(w)}, 'p', {i}, 'x', {idf[w] / whole!r}D)" for i, w in enumerate(words))
-        literals.append(f"named_struct('label', {_text(label)}, 'rare', array({others}), 'first', {at}, 'key', {_array(phrase)}, 'weights', array({weights}))")
+        literals.append(f"named_struct('label', {_text(label)}, 'rare', array({indexed}), 'first', {at}, 'key', {_array(phrase)}, 'weights', array({weights}))")
     posted = ", ".join(f"named_struct('w', {_text(w)}, 't', {t}, 'p', {p})" for w, places in sorted(index.items()) for t, p in places)
     marked = sorted({"license", *index})
 
@@ -101,15 +115,15 @@ def scan(documents: DataFrame, templates=TEMPLATES, agree: int = 2) -> DataFrame
     base = base.withColumn("places", F.expr(f"filter(transform(marks, i -> CASE {' '.join(phrases)} END), x -> x IS NOT NULL)"))
     base = base.withColumn("found", F.expr(f"flatten(transform(marks, i -> transform(filter(array({posted}), p -> p.w = get(words, i)), p -> named_struct('t', p.t, 'at', i - p.p))))"))
     base = base.withColumn("templates", F.expr(f"array({', '.join(literals)})"))
-    agreed = "forall(templates[c.t].rare, r -> r.w = '' OR get(words, c.at + r.p) <=> r.w)"
+    agreed = f"size(filter(templates[c.t].rare, r -> get(words, c.at + r.p) <=> r.w)) >= {agree}"
     verified = "c.at + templates[c.t].first >= 0 AND slice(words, greatest(c.at + templates[c.t].first, 0) + 1, size(templates[c.t].key)) = templates[c.t].key"
-    base = base.withColumn("met", F.expr(f"filter(found, c -> {agreed} AND {verified})"))
     weight = "aggregate(templates[c.t].weights, 0D, (s, x) -> s + if(get(words, c.at + x.p) <=> x.w, x.x, 0D))"
-    score = F.expr(f"round(least(1D, coalesce(array_max(transform(met, c -> {weight})), 0D)), 9)")
+    base = base.withColumn("met", F.expr(f"filter(transform(filter(found, c -> {agreed} AND {verified}), c -> named_struct('t', c.t, 'share', {weight})), m -> m.share >= {least_share!r}D)"))
+    score = F.expr("round(least(1D, coalesce(array_max(transform(met, m -> m.share)), 0D)), 9)")
     own = "array_distinct(transform(places, x -> x.label))"
     return base.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
         F.expr("array_min(transform(places, x -> cast(x.at AS bigint)))").alias("first_word"), F.expr("array_max(transform(places, x -> cast(x.at AS bigint)))").alias("last_word"),
         F.expr(f"array_join(array_sort({own}), ',')").alias("base_labels"),
-        F.expr(f"array_join(array_sort(array_union({own}, transform(met, c -> templates[c.t].label))), ',')").alias("labels"), score.alias("score"),
+        F.expr(f"array_join(array_sort(array_union({own}, transform(met, m -> templates[m.t].label))), ',')").alias("labels"), score.alias("score"),
     )
