@@ -8,13 +8,19 @@ training sequences and sends its expected counts, one row a symbol; their sums
 give the next model.  Scoring runs the scaled forward recursion over whole
 documents, all documents of a batch side by side.
 
-Training cuts sequences into runs of ``run`` tokens (all are used; a run after
-the first starts from the states' long-run shares); scoring never cuts.
+Training works on runs of ``run`` tokens side by side.  What a cut would lose is
+carried over it: the transfer matrix of each run gives the exact state before
+its first token and the exact backward message after its last, and the step over
+the cut counts as any other, so the counts are those of whole documents.
+Iterations end when the likelihood of a token gains less than ``tolerance``, and
+after ``iterations`` in any case.
 
 Counts of at most ``table_words`` words travel as a broadcast; tokens of rarer
 words meet their counts in a join by word, so none is left out or guessed.
 
-Defined results.  A null or empty text is its end token alone.  A null doc_id
+Defined results.  A null or empty text is its end token alone; texts of any
+length are scored whole.  Of equally frequent words the lesser in byte order is
+the symbol.  Columns beyond doc_id and text are never read.  A null doc_id
 counts as held out.  With no training documents, base and model fall back to
 their smoothing.  Repeated rows each train and each get their row.
 """
@@ -121,9 +127,14 @@ def encode(documents: DataFrame, words: Words, symbols: int, known_tokens: int =
         classes, unknown = w.classes, w.base(0)
 
         class Entries(dict):
-            """word -> (symbol, base, share of the class, count) of the words met, bounded."""
+            """word -> place in ``rows``, which hold the symbol, base, share of the class and count of each word met."""
 
-            def __missing__(self, word: bytes) -> tuple[int, float, float, int]:
+            def __init__(self):
+                super().__init__()
+                self.words: list[bytes] = []
+                self.rows: list[tuple[int, float, float, int]] = []
+
+            def __missing__(self, word: bytes) -> int:
                 c = w.counts.get(word, -1)
                 symbol = w.symbols.get(word)
                 k = class_of(word, classes)
@@ -132,27 +143,38 @@ def encode(documents: DataFrame, words: Words, symbols: int, known_tokens: int =
                 else:
                     c = max(c, 0)
                     value = (symbols + k if symbol is None else symbol, w.base(c) if c else unknown, w.share(c, k) if symbol is None else 0.0, c)
-                if len(self) < known_tokens:
-                    self[word] = value
-                return value
+                self[word] = at = len(self.rows)
+                self.words.append(word)
+                self.rows.append(value)
+                return at
 
         entries = Entries()
         task, row = TaskContext.get().partitionId(), 0
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "symbols", "rare", "times"]
-        kinds = (pa.int64(), None, None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
         for b in batches:
-            columns: list[list] = [[] for _ in names]
+            if not len(b):
+                continue
+            if len(entries.rows) > known_tokens:
+                entries = Entries()
+            parts = []
             for text in byte_values(b.column(2)):
                 tokens = [*blank_words(text), END]
-                got = list(map(entries.__getitem__, tokens))
-                symbol, base, share, count = zip(*got, strict=True)
-                rare = Counter(t for t, c in zip(tokens, count, strict=True) if c < 0) if min(count) < 0 else {}
-                values = (task << 36 | row, None, None, len(tokens), len(tokens) - count.count(0) - sum(rare.values()), float(np.sum(base)), float(np.sum(share)), np.array(symbol, "<u2").tobytes(), list(rare), list(rare.values()))
-                row += 1
-                for c, v in zip(columns, values, strict=True):
-                    c.append(v)
-            arrays = [b.column(i - 1) if k is None else pa.array(c, k) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                parts.append(np.fromiter(map(entries.__getitem__, tokens), np.int32, len(tokens)))
+            ids = np.concatenate(parts)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            first = np.cumsum(sizes) - sizes
+            symbol, base, share, count = (np.array(c) for c in zip(*entries.rows, strict=True))
+            of, total = count[ids], lambda x: np.add.reduceat(x, first)
+            rare: list[list[bytes]] = [[] for _ in parts]
+            times: list[list[int]] = [[] for _ in parts]
+            for i in np.flatnonzero(total((of < 0).astype(np.int64))).tolist():
+                own, n = np.unique(parts[i][count[parts[i]] < 0], return_counts=True)
+                rare[i], times[i] = [entries.words[k] for k in own.tolist()], n.tolist()
+            flat = symbol.astype("<u2")[ids]
+            codes = [flat[lo : lo + n].tobytes() for lo, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+            numbers = (pa.array(sizes), pa.array(total((of > 0).astype(np.int64))), pa.array(total(base[ids])), pa.array(total(share[ids])))
+            yield pa.RecordBatch.from_arrays([pa.array((task << 36) + row + np.arange(len(b))), b.column(0), b.column(1), *numbers, pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=names)
+            row += len(b)
 
     lean = documents.select("doc_id", (crc_of_id() % 10 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
@@ -165,54 +187,95 @@ class Model:
     step: np.ndarray
     emit: np.ndarray  # states x symbols
 
-    def long_run(self) -> np.ndarray:
-        x = np.full(len(self.start), 1.0 / len(self.start))
-        for _ in range(50):
-            x = x @ self.step
-        return x / x.sum()
 
+def transfers(model: Model, runs: list[np.ndarray], side: int = 1024) -> np.ndarray:
+    """For each run, up to a factor: chances of its tokens and of the state at its last, by the state at its first."""
+    states = len(model.start)
+    emit = np.ascontiguousarray(model.emit.T)
+    out = np.zeros((len(runs), states, states))
+    order = np.argsort([-len(r) for r in runs], kind="stable")
+    for lo in range(0, len(order), side):
+        group = order[lo : lo + side]
+        lengths = np.array([len(runs[i]) for i in group])
+        x = np.tile(np.eye(states), (len(group), 1, 1)) * emit[[runs[i][0] for i in group]][:, None, :]
+        table = np.zeros((lengths[0], len(group)), np.int64)
+        for j, i in enumerate(group):
+            table[: lengths[j], j] = runs[i]
+        for t in range(1, lengths[0]):
+            n = int((lengths > t).sum())
+            x[:n] = (x[:n].reshape(-1, states) @ model.step).reshape(n, states, states) * emit[table[t, :n]][:, None, :]
+            if t % 16 == 0:
+                x[:n] /= x[:n].sum(axis=(1, 2), keepdims=True)
+        out[group] = x / x.sum(axis=(1, 2), keepdims=True)
+    return out
 
-def expected_counts(model: Model, sequences: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, steps and emissions of the sequences, in runs side by side."""
+
+def cut_runs(model: Model, sequences: list[np.ndarray], run: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all sequences, which are first, the states' shares at the token before each, and the backward message after its last."""
+    runs = [s[i : i + run] for s in sequences for i in range(0, len(s), run)]
+    pieces = [-(-len(s) // run) for s in sequences]
+    first = np.zeros(len(runs), bool)
+    first[np.cumsum([0, *pieces[:-1]])[np.array(pieces) > 0]] = True
+    before, after = np.zeros((len(runs), len(model.start))), np.ones((len(runs), len(model.start)))
+    several = np.flatnonzero(np.repeat(np.array(pieces) > 1, pieces))
+    if len(several):
+        matrix = dict(zip(several.tolist(), transfers(model, [runs[i] for i in several]), strict=True))
+        for i in several.tolist():
+            x = (model.start if first[i] else before[i] @ model.step) @ matrix[i]
+            if i + 1 < len(runs) and not first[i + 1]:
+                before[i + 1] = x / x.sum()
+        for i in several[::-1].tolist():
+            if not first[i]:
+                y = model.step @ (matrix[i] @ after[i])
+                after[i - 1] = y / y.sum()
+    return runs, first, before, after
+
+
+def expected_counts(model: Model, sequences: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions of the whole sequences, and their log likelihood; runs go side by side."""
     states, n_symbols = model.emit.shape
-    first, later = model.start, model.long_run()
-    starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, n_symbols))
-    runs = [(s[i : i + run], i == 0) for s in sequences for i in range(0, len(s), run)]
-    runs.sort(key=lambda r: -len(r[0]))
+    starts, steps, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, n_symbols)), 0.0
+    runs, first, before, after = cut_runs(model, sequences, run)
+    order = np.argsort([-len(r) for r in runs], kind="stable")
     emit = np.ascontiguousarray(model.emit.T)
     for lo in range(0, len(runs), 1024):
-        group = runs[lo : lo + 1024]
-        lengths = np.array([len(r[0]) for r in group])
+        group = order[lo : lo + 1024]
+        lengths = np.array([len(runs[i]) for i in group])
         top = lengths[0]
         table = np.zeros((top, len(group)), np.int64)
-        for j, (s, _) in enumerate(group):
-            table[: len(s), j] = s
+        for j, i in enumerate(group):
+            table[: lengths[j], j] = runs[i]
         active = (lengths[None, :] > np.arange(top)[:, None]).sum(axis=1)
         alpha = np.zeros((top, len(group), states))
         scale = np.ones((top, len(group)))
-        x = np.where(np.array([r[1] for r in group])[:, None], first, later)
+        head = first[group]
+        x = np.where(head[:, None], model.start, before[group] @ model.step)
+        last = np.zeros((len(group), states))
         for t in range(top):
             n = active[t]
             x = (x[:n] if t == 0 else x[:n] @ model.step) * emit[table[t, :n]]
             total = x.sum(axis=1)
             x /= total[:, None]
             alpha[t, :n], scale[t, :n] = x, total
-        beta = np.ones((len(group), states))
+            last[:n] = x
+        log += float(np.log(scale).sum())
+        beta = after[group] / (last * after[group]).sum(axis=1, keepdims=True)
         weight = np.zeros((top, len(group), states))
         for t in range(top - 1, -1, -1):
             n = active[t]
             weight[t, :n] = alpha[t, :n] * beta[:n]
+            onward = emit[table[t, :n]] * beta[:n] / scale[t, :n, None]
             if t:
-                after = emit[table[t, :n]] * beta[:n] / scale[t, :n, None]
-                steps += alpha[t - 1, :n].T @ after
-                beta[:n] = after @ model.step.T
-        head = np.array([r[1] for r in group])
+                steps += alpha[t - 1, :n].T @ onward
+                beta[:n] = onward @ model.step.T
+            else:
+                steps += before[group].T @ onward  # over the cut; zero before a first run
         starts += weight[0][head].sum(axis=0)
         seen = np.arange(top)[:, None] < lengths[None, :]
         at, weight = table[seen], weight[seen]
         for k in range(states):
             emits[k] += np.bincount(at, weights=weight[:, k], minlength=n_symbols)
-    return starts, steps * model.step, emits
+    return starts, steps * model.step, emits, log
 
 
 def forward_log10(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -247,7 +310,7 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in column]
 
 
-def train(encoded: DataFrame, n_symbols: int, frequency: np.ndarray, states: int = 6, iterations: int = 3, run: int = 256, seed: int = 11) -> Model:
+def train(encoded: DataFrame, n_symbols: int, frequency: np.ndarray, states: int = 6, iterations: int = 3, tolerance: float = 1e-3, run: int = 256, seed: int = 11) -> Model:
     """Baum-Welch over the training rows of ``encoded``; each iteration reads all of them."""
     spark = encoded.sparkSession
     rng = np.random.default_rng(seed)
@@ -256,27 +319,33 @@ def train(encoded: DataFrame, n_symbols: int, frequency: np.ndarray, states: int
     step = 0.5 * np.eye(states) + rng.dirichlet(np.full(states, 5.0), states)
     model = Model(np.full(states, 1.0 / states), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
     data = encoded.where("NOT held_out").select("symbols")
+    size, before = states + 2 + n_symbols, -np.inf
 
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)  # states x symbols numbers
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rows = np.zeros((states + 1 + n_symbols, states))
+            rows = np.zeros((size, states))
             for b in batches:
-                starts, steps, emits = expected_counts(shared.value, _sequences(b.column(0)), run)
+                starts, steps, emits, log = expected_counts(shared.value, _sequences(b.column(0)), run)
                 rows[0] += starts
                 rows[1 : states + 1] += steps
-                rows[states + 1 :] += emits.T
+                rows[states + 1 : -1] += emits.T
+                rows[-1, 0] += log
             full = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(list(rows[full]), pa.list_(pa.float64()))], names=["k", "v"])
 
         parts = data.mapInArrow(sums, "k long, v array<double>").groupBy("k").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(states)))
-        rows = np.zeros((states + 1 + n_symbols, states))
+        rows = np.zeros((size, states))
         for r in parts.collect():  # states x symbols numbers
             rows[r["k"]] = [r[f"v{i}"] for i in range(states)]
-        starts, steps, emits = rows[0] + 1e-2, rows[1 : states + 1] + 1e-2, rows[states + 1 :].T + 0.1 * base * states
+        starts, steps, emits = rows[0] + 1e-2, rows[1 : states + 1] + 1e-2, rows[states + 1 : -1].T + 0.1 * base * states
         model = Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True))
         shared.unpersist()
+        each = rows[-1, 0] / max(1.0, rows[states + 1 : -1].sum())
+        if each - before < tolerance:
+            break
+        before = each
     return model
 
 
