@@ -8,12 +8,17 @@ task folds the pages it reads, wrapper by host; wrappers of a host then fold
 into one, so a host with a third of all pages sends one wrapper a task.
 
 The wrapper says which of its slots hold the article: those of the main
-containers that it has, else those of the part with most variable text; parts
+containers that it has, else those of the part with most variable text.  Parts
 whose name or class marks a menu, header, footer, sidebar, notice, advert, form
-or comments are never among them, nor are texts that stay the same on all pages
-outside a main container.  Extraction follows a page along its host's wrapper.
-
-Defined results.  Null and empty html give the empty text.  A null or broken
+or comments are left out, as are texts that stay the same on all pages outside a
+main container.  Words that an article may bear too ("legal", "share") yield to
+evidence: such a part stays if it holds over half of the host's variable text.
+Extraction follows a page along its host's wrapper.
+
+Defined results.  Null and empty html give the empty text; pages of any length
+and depth are read whole, each character a bounded number of times.  Of parts
+with equally much text the outer is taken.  Columns beyond page_id, url and html
+are never read.  A null or broken
 URL belongs to the host "".  A host of one page has a wrapper without evidence
 of constancy; names and text size then decide.  Repeated pages count each.
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Generator, Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -33,9 +39,9 @@ from pyspark.sql import functions as F
 
 from lodestone.storage import materialize
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|select|object)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|select|object)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^<>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -49,6 +55,10 @@ NOISE_WORDS = frozenset(
     "menu nav navbar navigation sidebar sidebars widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay footer header masthead "
     "copyright legal disclaimer pagination pager toolbar sponsor sponsored sponsors promo promotion promoted skip teaser trending complementary contentinfo search searchbox".split()
 )
+#: Noise words that an article may bear too; they yield to the evidence of the host's text.
+WEAK_WORDS = frozenset(
+    "notice notices alert banner related recommended share sharing social header masthead legal disclaimer copyright promo promotion promoted sponsor sponsors skip teaser trending overlay modal popup search complementary widget widgets".split()
+)
 MAIN_WORDS = frozenset("main content article post entry story maincontent articlebody postcontent entrycontent articlecontent postbody".split())
 #: Open elements that the start of an element ends, for those whose end tags may be left out.
 _CELLS = frozenset(("td", "th"))
@@ -89,6 +99,7 @@ def parse(html: str) -> Node:
     """The tree of a page, however its tags are left open."""
     root = Node("#", "#")
     stack, at = [root], 0
+    held: dict[str, int] = {}  # open elements by tag
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             stack[-1].parts.append(html[at : m.start()])
@@ -98,8 +109,10 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held.get(tag) else ():
                 if stack[i].tag == tag:
+                    for node in stack[i:]:
+                        held[node.tag] -= 1
                     del stack[i:]
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
@@ -110,10 +123,11 @@ def parse(html: str) -> Node:
         node = Node(tag, f"{tag}.{' '.join(re.sub(r'[0-9]+', '0', w) for w in words)}" if words else tag, bool(attributes and _HIDDEN.search(attributes)))
         if tag not in INLINE and tag not in VOID:
             while stack[-1].tag in INLINE or stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ()):
-                stack.pop()  # a block ends open inline elements and paragraphs
+                held[stack.pop().tag] -= 1  # a block ends open inline elements and paragraphs
         stack[-1].parts.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            held[tag] = held.get(tag, 0) + 1
     if at < len(html):
         stack[-1].parts.append(html[at:])
     return root
@@ -167,34 +181,63 @@ def align(a: list, b: list, pages: int | None = None) -> list:
 def _aligning(a: list, b: list, pages: int | None) -> Generator:
     kids: list[list] = []
     left, right = a[6], b[6]
-    # longest common subsequence of signatures
-    n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i][0] == right[j][0] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
-            kid = yield left[i], right[j], None
-            kid[2] = left[i][2] | right[j][2]
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            kid = [left[i][0], 1, *left[i][2:]]
-            i += 1
-        else:
-            kid = [right[j][0], 1, *right[j][2:]]
-            j += 1
-        if kids and kids[-1][0] == kid[0]:
-            kid = yield kids[-1], kid, max(kids[-1][3], kid[3])
-            kid[2] = 1
-            kids[-1] = kid
-        else:
-            kids.append(kid)
+    for x, y in [*matched([k[0] for k in left], [k[0] for k in right]), (len(left), len(right))]:
+        alone = [[k[0], 1, *k[2:]] for k in (*left[i:x], *right[j:y])]
+        if x < len(left):
+            kid = yield left[x], right[y], None
+            kid[2] = left[x][2] | right[y][2]
+            alone.append(kid)
+        i, j = x + 1, y + 1
+        for kid in alone:
+            if kids and kids[-1][0] == kid[0]:
+                kid = yield kids[-1], kid, max(kids[-1][3], kid[3])
+                kid[2] = 1
+                kids[-1] = kid
+            else:
+                kids.append(kid)
     same = a[5] if a[5] == b[5] else None
     return [a[0], a[1] | b[1], a[2] | b[2], pages or a[3] + b[3], max(a[4], b[4]), same, kids]
 
 
+def matched(left: list[str], right: list[str], cells: int = 1 << 20) -> list[tuple[int, int]]:
+    """Places of a common subsequence: equal ends, and a longest one between them.
+
+    Where that would take over ``cells`` comparisons, each takes the next like it.
+    """
+    n, m = len(left), len(right)
+    head = next((i for i in range(min(n, m)) if left[i] != right[i]), min(n, m))
+    tail = next((i for i in range(min(n, m) - head) if left[n - 1 - i] != right[m - 1 - i]), min(n, m) - head)
+    a, b = left[head : n - tail], right[head : m - tail]
+    middle: list[tuple[int, int]] = []
+    if len(a) * len(b) <= cells:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)] if a and b else []
+        for i in range(len(a) - 1, -1, -1) if best else ():
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while best and i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                middle.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(a):
+            places.setdefault(x, []).append(i)
+        at = 0
+        for j, x in enumerate(b):
+            own = places.get(x, [])
+            k = bisect_left(own, at)
+            if k < len(own):
+                middle.append((own[k], j))
+                at = own[k] + 1
+    return [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in middle), *((n - tail + i, m - tail + i) for i in range(tail))]
+
+
 def dumps(wrapper: list) -> str:
     """The wrapper's elements in document order, each with its number of children: JSON of one level at any depth."""
     flat, stack = [], [wrapper]
@@ -229,13 +272,41 @@ def is_noise(sig: str) -> bool:
     return tag in NOISE_TAGS or (bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main"))
 
 
+def yields(sig: str) -> bool:
+    """Is it noise by weak words alone?"""
+    tag, words = _words(sig)
+    return tag not in NOISE_TAGS and words & NOISE_WORDS <= WEAK_WORDS
+
+
 def is_main(sig: str) -> int:
     tag, words = _words(sig)
     return 3 if tag == "article" else 2 if tag == "main" else 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
 
 
 #: Marks of a path.
-ROOT, CONSTANT = 1, 2
+ROOT, CONSTANT, KEPT = 1, 2, 4
+
+
+def is_fixed(node: list, least_pages: int) -> bool:
+    return node[5] is not None and node[3] >= least_pages and node[4] > 0
+
+
+def kept_in_spite(wrapper: list, least_pages: int) -> set[int]:
+    """Ids of elements with weak noise words that hold over half of the host's variable text."""
+    sizes: dict[int, int] = {}
+
+    def walk(node: list) -> Generator:
+        if is_noise(node[0]) and not yields(node[0]):
+            return 0
+        size = 0 if is_fixed(node, least_pages) else node[4]
+        for k in node[6]:
+            size += yield (k,)
+        if is_noise(node[0]):
+            sizes[id(node)] = size
+        return size
+
+    whole = _run(walk, wrapper)
+    return {i for i, size in sizes.items() if 2 * size > whole}
 
 
 def article_paths(wrapper: list, least_pages: int = 3) -> list[list]:
@@ -249,6 +320,8 @@ def article_paths(wrapper: list, least_pages: int = 3) -> list[list]:
     found: dict[int, list[int]] = {}
     variable: dict[int, int] = {}
     constant: list[int] = []
+    kept = kept_in_spite(wrapper, least_pages)
+    marks: dict[int, int] = {}
 
     def place(above: int, sig: str) -> int:
         at = places.setdefault((above, sig), len(tree))
@@ -257,30 +330,34 @@ def article_paths(wrapper: list, least_pages: int = 3) -> list[list]:
         return at
 
     def walk(node: list, above: int, inside: int) -> Generator:
-        if is_noise(node[0]):
+        if is_noise(node[0]) and id(node) not in kept:
             return 0
         here = place(above, node[0])
+        if id(node) in kept:
+            marks[here] = KEPT
         rank = is_main(node[0])
         if rank > inside:
             found.setdefault(rank, []).append(here)
-        fixed = node[5] is not None and node[3] >= least_pages and node[4] > 0
+        fixed = is_fixed(node, least_pages)
         if fixed and not max(rank, inside):
             constant.append(here)
         size = 0 if fixed else node[4]
         below = 0
         for k in node[6]:
             below += yield k, here, max(rank, inside)
-        paragraphs = sum(k[4] for k in node[6] if k[0].partition(".")[0] in ("p", "h1", "h2", "h3", "blockquote", "pre") and not is_noise(k[0]))
+        paragraphs = sum(k[4] for k in node[6] if k[0].partition(".")[0] in ("p", "h1", "h2", "h3", "blockquote", "pre") and (id(k) in kept or not is_noise(k[0])))
         variable[here] = size + paragraphs
         return size + below
 
     _run(walk, wrapper, -1, 0)
     if found:
-        marks = dict.fromkeys(found[max(found)], ROOT)
+        roots = found[max(found)]
     else:
-        marks = dict.fromkeys(constant, CONSTANT)
-        best = max(variable, key=lambda p: (variable[p], -tree[p][2])) if variable else place(-1, "#")
-        marks[best] = marks.get(best, 0) | ROOT
+        for p in constant:
+            marks[p] = marks.get(p, 0) | CONSTANT
+        roots = [max(variable, key=lambda p: (variable[p], -tree[p][2])) if variable else place(-1, "#")]
+    for p in roots:
+        marks[p] = marks.get(p, 0) | ROOT
     needed: set[int] = set()
     for p in marks:
         while p >= 0 and p not in needed:
@@ -305,13 +382,14 @@ def extract(root: Node, paths: list[list]) -> str:
             buffer.clear()
 
     def enter(node: Node, at: int, inside: bool) -> bool:
-        if node.hidden or is_noise_cached(node.sig):
-            return False
         inline = node.tag in INLINE
         if not inline:
             at = onward.get((at, node.sig), -2)  # -2: on none of the paths
-            flush()
         mark = paths[at][2] if at >= 0 else 0
+        if node.hidden or (is_noise_cached(node.sig) and (inline or not mark & KEPT)):
+            return False
+        if not inline:
+            flush()
         inside = inside or bool(mark & ROOT)
         stack.append((iter(node.parts), at, inside, inside and not mark & CONSTANT, inline))
         return True
@@ -354,7 +432,7 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000) -> DataFrame:
+def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000, groups: int = 64) -> DataFrame:
     """host, wrapper (JSON): all pages of a host, aligned."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +454,7 @@ def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, held = None, None
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, text in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
                 if name != host and held is not None:
                     yield send({host: held})
                     held = None
@@ -387,7 +465,10 @@ def infer_wrappers(pages: DataFrame, flush_hosts: int = 5000) -> DataFrame:
 
     shape = "host string, wrapper string"
     lean = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return materialize(lean.mapInArrow(fold, shape).repartition("host").sortWithinPartitions("host").mapInArrow(meet, shape), "wrappers")
+    # a host's partial wrappers, one a task that read it, meet in groups first
+    dealt = lean.mapInArrow(fold, shape).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    some = dealt.repartition("host", "group").sortWithinPartitions("host").mapInArrow(meet, shape)
+    return materialize(some.repartition("host").sortWithinPartitions("host").mapInArrow(meet, shape), "wrappers")
 
 
 def extract_articles(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
