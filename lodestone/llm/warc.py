@@ -9,8 +9,11 @@ payloads found.  Each archive's captures form a run sorted by URL key and
 timestamp; runs meet by key range, and within a range a loser tree merges them,
 so the concatenated ranges are the whole index in order.  Ranges are cut by key,
 timestamp and id, so a URL or host with very many captures spans several.
+An archive ends after a stated number of bytes and is compressed as a whole.
 
-Defined results.  A null html is an empty payload.  Rows that repeat the largest
+Defined results.  A null html is an empty payload; pages of any length are
+stored whole.  Columns beyond page_id, url and html are never read, whatever
+their names.  Captures of equal key and time are in the order of their ids.  Rows that repeat the largest
 page_id of their payload are responses, all of them.  A null page_id never is
 the largest; alone it is a response.  A null or broken URL keeps its text as its
 key.  Payloads under ``least_bytes`` are always responses.
@@ -66,15 +69,16 @@ def _record(page: str, url: str, date: str, digest: str, payload: str, size: int
     return "\r\n".join(head) + "\r\n\r\n" + http + (payload if keeper is None else "")
 
 
-def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, records_per_file: int = 4000) -> str:
+def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, file_bytes: int = 64 << 20, time_column: str | None = None) -> str:
     """Write one WARC record a row; returns the folder.
 
-    Columns: page_id, url, html, and ``fetched`` (timestamp) if there; else the
-    capture time follows from page_id.
+    Columns: page_id, url, html.  time_column: a timestamp column that tells the
+    capture times; else they follow from page_id.  file_bytes: of records in one
+    archive; a longer record has one of its own.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    time = F.date_format("fetched", "yyyy-MM-dd'T'HH:mm:ss'Z'") if "fetched" in pages.columns else F.lit(None).cast("string")
+    time = F.date_format(F.col(time_column).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_column else F.lit(None).cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), time.alias("date"))
     keyed = base.select("*", F.xxhash64("page_id", "url", "html").alias("row"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha1"))
     lean = materialize(keyed.select("page_id", "row", "sha1", F.octet_length("html").alias("size")), "payloads")
@@ -83,16 +87,22 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     marked = keyed.join(revisits, "row", "left").select("page_id", "url", "html", "date", "sha1", "keeper", "row")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = held = 0
         for b in batches:
-            out = []
+            out, into = [], []
             for page, url, html, date, sha1, keeper, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 name = str(page) if page is not None else f"null:{row}"
                 when = date or (_START + timedelta(seconds=(page or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                out.append(_record(name, url, when, base64.b32encode(sha1).decode(), html, len(html.encode()), None if keeper is None else str(keeper)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    records = marked.mapInArrow(build, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+                record = _record(name, url, when, base64.b32encode(sha1).decode(), html, len(html.encode()), None if keeper is None else str(keeper))
+                if held and held + len(record) > file_bytes:
+                    archive, held = archive + 1, 0
+                held += len(record)
+                out.append(record)
+                into.append(archive)
+            yield pa.RecordBatch.from_arrays([pa.array(into, pa.int32()), pa.array(out, pa.string())], names=["archive", "value"])
+
+    records = marked.mapInArrow(build, "archive int, value string")
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("archive").text(path)
     return path
 
 
@@ -115,7 +125,7 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_captures(spark, path: str) -> DataFrame:
     """One row per record found in the archives, in runs sorted by key and time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "run")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
