@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,16 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect what finished steps have left.
+
+    Spark removes their broadcasts and shuffle files only after such a
+    collection, which a long run of small plans may not bring about by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

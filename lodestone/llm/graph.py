@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import tidy
 from lodestone.storage import materialize
 
 
@@ -35,4 +36,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             whole = materialize(whole.join(step, "component", "left").select("node", F.coalesce("m", "component").alias("component")), "components")
         to = lambda c: point.select(F.col("a").alias(c), F.col("m").alias(f"m{c}"))
         edges = materialize(edges.join(to("a"), "a").join(to("b"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b").distinct(), "edges")
+        tidy(links.sparkSession)
     return whole

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import blank_words, byte_values
+from lodestone.llm.common import blank_words, byte_values, tidy
 from lodestone.llm.graph import connected_components
 from lodestone.llm.sketch import Levels, count_levels, in_bitmap, row_bitmap
 from lodestone.storage import materialize
@@ -197,15 +197,18 @@ def signatures(documents: DataFrame, levels: Levels, t: tuple[int, int], groups:
 
     lean = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
-    return materialize(lean.mapInArrow(run, f"doc_id {kind}, row long, n long, key binary, point binary, tokens array<long>, widest array<long>, common double"), "signatures")
+    out = materialize(lean.mapInArrow(run, f"doc_id {kind}, row long, n long, key binary, point binary, tokens array<long>, widest array<long>, common double"), "signatures")
+    shared.destroy()
+    tidy(documents.sparkSession)
+    return out
 
 
-def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame, t: tuple[int, int], k: int, row_bits: int = 1 << 26) -> DataFrame:
+def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame, t: tuple[int, int], k: int) -> DataFrame:
     """The pairs (a, b) of set ids that are links; texts are read again only to rebuild the sets in question."""
     spark = documents.sparkSession
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = materialize(sets.select("sid", "key", "row").join(asked, "sid", "left_semi"), "wanted_sets")
-    shared = spark.sparkContext.broadcast(row_bitmap(wanted, row_bits))  # a fixed number of bits
+    shared = spark.sparkContext.broadcast(row_bitmap(wanted))  # a bounded number of bits
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, done = WordHashes(), set()
@@ -226,6 +229,8 @@ def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame, t: tuple[
     lean = documents.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     rebuilt = lean.mapInArrow(rebuild, "key binary, shingles binary").dropDuplicates(["key"]).join(wanted.select("key", "sid"), "key")
     rebuilt = materialize(rebuilt, "shingle_sets")
+    shared.destroy()
+    tidy(spark)
     of = lambda c: rebuilt.select(F.col("sid").alias(c), F.col("shingles").alias(f"s{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +257,7 @@ def _tree_candidates(grouped: DataFrame, t: tuple[int, int], groups: int, block:
     lean = grouped.select(F.explode("tokens").alias("token"), "component")
     counts = lean.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1 AND lo < hi").select("token", F.ceil(F.col("m") / block).cast("int").alias("k"))
     counts = materialize(counts, "open_cells")
-    shared = grouped.sparkSession.sparkContext.broadcast(row_bitmap(counts, bits, "token"))  # a fixed number of bits
+    shared = grouped.sparkSession.sparkContext.broadcast(row_bitmap(counts, bits, "token"))  # a bounded number of bits
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,15 +333,18 @@ def similar_sets(documents: DataFrame, threshold: tuple[int, int] = (75, 100), g
         near = cells.join(leaders, "token").where(f"component <> leader.component AND {threshold[1]} * least(n, leader.n) >= {threshold[0]} * greatest(n, leader.n)")
         asked = near.select(F.least("leader.sid", "sid").alias("a"), F.greatest("leader.sid", "sid").alias("b")).distinct()
         asked = _bounded(asked.join(tested, ["a", "b"], "left_anti"), sets, threshold, groups)
+        tidy(documents.sparkSession)
         if asked.isEmpty():
             break
         tested, links = tested.union(asked), links.union(_verified(documents, sets, asked, threshold, k))
         known = connected_components(links)
+        tidy(documents.sparkSession)
     found = _tree_candidates(_with_component(sets, known), threshold, groups, block, bits)
     more = materialize(found.join(tested, ["a", "b"], "left_anti"), "tree_pairs")
     if not more.isEmpty():
         links = links.union(_verified(documents, sets, more, threshold, k))
         known = connected_components(links)
+    tidy(documents.sparkSession)
     return rows, sets, links, known
 
 
