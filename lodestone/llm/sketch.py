@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import byte_values
+from lodestone.storage import materialize
 
 
 def _place(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -99,19 +100,21 @@ def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels:
     shape = "range long, " + ", ".join(f"m{i} binary" for i in range(len(levels)))
     maps = [np.zeros(bits // 8, np.uint8) for _ in levels]
     sent = texts.mapInArrow(blocks, "range long, tokens binary, counts binary")
-    for row in sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, shape).toLocalIterator():
+    marked = materialize(sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, shape), "levels")
+    for row in marked.toLocalIterator():  # a part of the bits at a time, from few files' partitions
         for i, m in enumerate(maps):
             m[row["range"] * per // 8 : (row["range"] + 1) * per // 8] = np.frombuffer(row[f"m{i}"], np.uint8)
     return Levels(maps, bits)
 
 
-def row_bitmap(rows: DataFrame, bits: int = 1 << 26, column: str = "row") -> np.ndarray:
-    """Marks of the 64-bit row hashes in ``rows``."""
+def row_bitmap(rows: DataFrame, most_bits: int = 1 << 27, column: str = "row") -> np.ndarray:
+    """Marks of the 64-bit row hashes in ``rows``, a written table; sixteen bits a row, ``most_bits`` in all."""
+    bits = min(most_bits, max(1 << 15, 1 << (16 * rows.count()).bit_length()))
     place = rows.select((F.pmod(column, F.lit(bits)) + 1).alias("p"))  # Spark's bitmap functions count from 1
     maps = place.groupBy(F.expr("bitmap_bucket_number(p)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in maps.toLocalIterator():
-        out[(r["g"] - 1) * 4096 : r["g"] * 4096] = np.frombuffer(r["m"], np.uint8)[: len(out)]
+    for r in maps.collect():  # ``bits`` bits
+        out[(r["g"] - 1) * 4096 : r["g"] * 4096] = np.frombuffer(r["m"], np.uint8)
     return out
 
 

@@ -11,13 +11,20 @@ gram.  A first pass counts grams; only buckets with two or more entries are
 dealt out.  A bucket's entry is a segment: the windows of one document that
 have the same gram.  Equal segments are counted, not kept twice.
 
-A task takes one bucket after the other, in blocks of bounded size, and orders
-their windows.  The grams are laid on multiples of 8, so windows that can be
-equal have equal residues and the cover sample is every 8th position.  Ranks of
-128-byte strings at the sample come from prefix doubling (8, 16, ... 128 bytes);
-a window is then two sample ranks and the few bytes around them, however long
-the tie.  A bucket with more than ``bucket_limit`` different segments is dealt
-out again by its windows' whole content, so no bucket must fit a task.
+A task takes one bucket after the other, in blocks of bounded size, and sorts
+their suffixes by their first ``length`` bytes.  The grams are laid on multiples
+of 8, so windows that can be equal have equal residues, and of a difference
+cover of period 8 the one residue 0 is enough: it is at the same distance from
+both.  Ranks of 128-byte strings at the sample come from prefix doubling (8, 16,
+... 128 bytes); a window is the few bytes before its first sample, two sample
+ranks and the few bytes after them, however long the tie.  A bucket with more
+than ``bucket_limit`` different segments is dealt out again by its windows'
+whole content, so no bucket must fit a task.
+
+Results return to documents by chains: neighbouring segments that stand in
+several places are named by one key, cut where their content says so, so a
+passage or a whole text with many copies costs each copy a few rows, and its
+segments are looked up once.
 
 Defined results.  Null and empty texts, and texts under ``length`` bytes, keep
 all bytes.  Repeated rows repeat every window of theirs, so texts of at least
@@ -31,11 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_values
+from lodestone.llm.common import byte_values, tidy
 from lodestone.llm.sketch import count_levels, in_bitmap, row_bitmap
 from lodestone.storage import materialize
 
@@ -99,8 +108,8 @@ def window_grams(text: bytes, powers: Powers, length: int, gram: int = GRAM) ->
 
 
 def cover_ranks(buffer: np.ndarray) -> np.ndarray:
-    """Ranks of the 128-byte strings at every 8th place of ``buffer``, by prefix doubling."""
-    rank = np.unique(buffer.view(np.uint64), return_inverse=True)[1].astype(np.uint64)
+    """Ranks, in the order of bytes, of the 128-byte strings at every 8th place of ``buffer``, by prefix doubling."""
+    rank = np.unique(buffer.view(">u8").astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
     span = 1
     while span < 16:
         after = np.zeros(len(rank), np.uint64)
@@ -110,8 +119,8 @@ def cover_ranks(buffer: np.ndarray) -> np.ndarray:
     return rank
 
 
-def repeated_windows(segments: list[bytes], lead: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """For all windows of the segments in order: does the same window stand in another segment or place?
+def window_order(segments: list[bytes], lead: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all segments in suffix order, by residue of their place, and whether each equals the one before.
 
     lead: the gram's place in its segment.  windows: how many a segment has.
     """
@@ -124,25 +133,34 @@ def repeated_windows(segments: list[bytes], lead: np.ndarray, windows: np.ndarra
     start = base + before
     for s, seg in zip(start.tolist(), segments, strict=True):
         buffer[s : s + len(seg)] = np.frombuffer(seg, np.uint8)
-    ranks, words = cover_ranks(buffer), buffer.view(np.uint64)
+    ranks, words = cover_ranks(buffer), buffer.view(">u8").astype(np.uint64)
     at = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     head = (-at) % 8
     sample = (at + head) // 8
     covered = (length // 8 - 1) * 8
     if not 128 <= covered <= 256:
         raise ValueError("length must be between 136 and 271 bytes")
-    shift = (head * 8).astype(np.uint64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    tail_bits = ((length - covered) * 8 - head * 8).astype(np.uint64)
-    upper = np.where(head > 0, words[sample - 1] & ~(full >> np.maximum(shift, 1)), 0).astype(np.uint64)
-    lower = np.where(tail_bits < 64, words[sample + covered // 8] & ((np.uint64(1) << np.minimum(tail_bits, 63)) - np.uint64(1)), words[sample + covered // 8])
-    one = (ranks[sample] << np.uint64(32)) | ranks[sample + (covered - 128) // 8]
-    one = one * np.uint64(8) + head.astype(np.uint64)  # a block has under 2^28 samples
-    order = np.lexsort((upper, lower, one))
-    a, b = order[:-1], order[1:]
-    same = (one[a] == one[b]) & (lower[a] == lower[b]) & (upper[a] == upper[b])
-    out = np.zeros(len(at), bool)
-    out[a[same]] = out[b[same]] = True
+    # bytes before the first sample, as a number that keeps their order
+    upper = np.where(head > 0, words[sample - 1] & ((np.uint64(1) << (head * 8).astype(np.uint64)) - np.uint64(1)), 0).astype(np.uint64)
+    tail_bits = ((length - covered) * 8 - head * 8).astype(np.uint64)  # 8 to 120 bits, of which a word holds 64
+    ends = words[sample + covered // 8]
+    lower = np.where(tail_bits < 64, ends >> (np.uint64(64) - np.minimum(tail_bits, 63)), ends)
+    rest = np.where(tail_bits > 64, words[sample + covered // 8 + 1] >> (np.uint64(128) - np.maximum(tail_bits, 65)), 0).astype(np.uint64)
+    middle = (ranks[sample] << np.uint64(32)) | ranks[sample + (covered - 128) // 8]  # a block has under 2^32 samples
+    first = (head.astype(np.uint64) << np.uint64(56)) | upper  # seven bytes at most before a sample
+    keys = [lower, middle, first] if not rest.any() else [rest, lower, middle, first]
+    order = np.lexsort(keys)
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    return order, same
+
+
+def repeated_windows(segments: list[bytes], lead: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """For all windows of the segments in order: does the same window stand in another segment or place?"""
+    order, same = window_order(segments, lead, windows, length)
+    out = np.zeros(len(order), bool)
+    out[order[same]] = True
+    out[order[:-1][same[1:]]] = True
     return out
 
 
@@ -153,7 +171,7 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _segments(documents: DataFrame, length: int, bits: int) -> DataFrame:
-    """Where each segment stands whose bucket may have two entries; written once, without the bytes."""
+    """The segments, without their bytes, whose bucket may have two entries: a row a document, written once."""
     texts = documents.select(F.col("text").cast("string").alias("text"))
 
     def grams(values: Iterator[bytes], powers: Powers) -> np.ndarray:
@@ -161,24 +179,32 @@ def _segments(documents: DataFrame, length: int, bits: int) -> DataFrame:
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
     shared = documents.sparkSession.sparkContext.broadcast(count_levels(texts, grams, Powers, (2,), bits))  # a fixed number of bits
+    wide, narrow = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            keys: list[int] = []
-            parts: list[tuple[np.ndarray, ...]] = []
+            rows: list[int] = []
+            columns: list[list] = [[], [], [], []]
             for row, text in zip(b.column(0).to_pylist(), byte_values(b.column(1)), strict=True):
                 if len(text) < length:
                     continue
                 h, place, first, last = window_grams(text, powers, length)
                 own = np.flatnonzero(shared.value.of(h))
+                if not len(own):
+                    continue
                 first, last, place = first[own], last[own], place[own]
-                keys += [segment_key(text[lo : hi + length], at - lo) for lo, hi, at in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                parts.append((h[own].view(np.int64), np.full(len(own), row), first, last - first + 1))
-            bucket, rows, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys, pa.int64()), pa.array(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], names=["bucket", "segment", "row", "start", "windows"])
-
-    return materialize(_keyed(documents).mapInArrow(cut, "bucket long, segment long, row long, start int, windows int"), "segments")
+                keys = [segment_key(text[lo : hi + length], at - lo) for lo, hi, at in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
+                rows.append(row)
+                for c, v in zip(columns, (h[own].view(np.int64), np.array(keys, np.int64), first, last - first + 1), strict=True):
+                    c.append(v)
+            kinds = (wide, wide, narrow, narrow)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["row", "buckets", "segments", "starts", "windows"])
+
+    out = materialize(_keyed(documents).mapInArrow(cut, "row long, buckets array<long>, segments array<long>, starts array<int>, windows array<int>"), "segments")
+    shared.destroy()
+    tidy(documents.sparkSession)
+    return out
 
 
 def segment_key(data: bytes, lead: int) -> int:
@@ -189,15 +215,16 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
 
 
-def _contents(documents: DataFrame, buckets: np.ndarray, length: int, but: np.ndarray | None = None) -> DataFrame:
-    """bucket, segment, bytes, lead, windows of the different segments of marked buckets, but those marked in ``but``."""
-    spark = documents.sparkSession
-    asked = spark.sparkContext.broadcast((buckets, but))  # fixed numbers of bits
+def _contents(documents: DataFrame, asked: Broadcast, length: int, few: bool) -> DataFrame:
+    """bucket, segment, bytes, lead, windows of the different segments of buckets that have several.
+
+    asked: marks of these buckets, and of those with very many; ``few`` tells which of the two are wanted.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, sent = Powers(), set()
         names, kinds = ["bucket", "segment", "bytes", "lead", "windows"], (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-        marked, hot = asked.value
+        several, hot = asked.value
         for b in batches:
             rows: list[tuple] = []
             size = 0
@@ -206,10 +233,7 @@ def _contents(documents: DataFrame, buckets: np.ndarray, length: int, but: np.nd
                     continue
                 h, place, first, last = window_grams(text, powers, length)
                 bucket = h.view(np.int64)
-                wanted = in_bitmap(marked, bucket)
-                if hot is not None:
-                    wanted &= ~in_bitmap(hot, bucket)
-                own = np.flatnonzero(wanted)
+                own = np.flatnonzero(in_bitmap(several, bucket) & (in_bitmap(hot, bucket) != few))
                 for k, lo, hi, at in zip(bucket[own].tolist(), first[own].tolist(), last[own].tolist(), place[own].tolist(), strict=True):
                     data = text[lo : hi + length]
                     key = (k, segment_key(data, at - lo))
@@ -264,20 +288,66 @@ def _search(entries: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket", "segment").mapInArrow(run, "bucket long, segment long, runs array<int>")
 
 
+def _chains(places: DataFrame, repeated: np.ndarray, found: np.ndarray, most: int = 16) -> DataFrame:
+    """row, start, chain and its members: segments of a document that may have marks; written once.
+
+    Neighbours that may all stand in several places make one chain; it ends
+    after a segment whose key is a multiple of ``most``, so chains of one
+    passage are cut alike wherever it stands.
+    """
+    shared = places.sparkSession.sparkContext.broadcast((repeated, found))  # bounded numbers of bits
+    fields = [pa.field("bucket", pa.int64()), pa.field("segment", pa.int64()), pa.field("offset", pa.int32()), pa.field("windows", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, marked = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            bucket, segment, start, windows = (b.column(i).flatten().to_numpy() for i in (1, 2, 3, 4))
+            sizes = pc.list_value_length(b.column(1)).to_numpy()
+            opens = np.zeros(len(segment), bool)
+            opens[np.cumsum(sizes) - sizes] = True  # no document is without segments
+            several = in_bitmap(again, segment)
+            onward = several[1:] & several[:-1] & (start[1:] == start[:-1] + windows[:-1]) & (segment[:-1] % most != 0)
+            opens[1:] |= ~onward
+            keep = np.flatnonzero(several | in_bitmap(marked, segment))
+            group = np.cumsum(opens)[keep]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(first[1:], len(keep))[: len(first)]
+            keys = [xxhash.xxh3_128_digest(bucket[at].tobytes() + segment[at].tobytes()) for at in (keep[lo:hi] for lo, hi in zip(first.tolist(), ends.tolist(), strict=True))]
+            head = keep[first]
+            offset = start[keep] - np.repeat(start[head], ends - first)
+            members = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((bucket[keep], segment[keep], offset, windows[keep]), fields, strict=True)], fields=fields)
+            columns = [pa.array(np.repeat(b.column(0).to_numpy(), sizes)[head]), pa.array(start[head]), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)).astype(np.int32)), members)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "start", "chain", "members"])
+
+    shape = "row long, start int, chain binary, members array<struct<bucket: long, segment: long, offset: int, windows: int>>"
+    out = materialize(places.mapInArrow(run, shape), "chains")
+    shared.destroy()
+    return out
+
+
 def repeated_spans(documents: DataFrame, length: int = 200, bits: int = 1 << 27, block_bytes: int = 4 << 20, bucket_limit: int = 8192) -> DataFrame:
     """row (hash of doc_id and text), spans: byte ranges to remove, flat, unsorted."""
     places = _segments(documents, length, bits)
-    counted = materialize(places.groupBy("bucket", "segment").agg(F.count("*").alias("copies")), "segment_counts")
+    each = places.select(F.explode(F.arrays_zip("buckets", "segments")).alias("x")).select(F.col("x.buckets").alias("bucket"), F.col("x.segments").alias("segment"))
+    counted = materialize(each.groupBy("bucket", "segment").agg(F.count("*").alias("copies")), "segment_counts")
     sizes = materialize(counted.groupBy("bucket").agg(F.count("*").alias("different")).where("different > 1"), "bucket_sizes")
-    several = row_bitmap(sizes, bits, "bucket")
     hot = row_bitmap(sizes.where(F.col("different") > bucket_limit), bits >> 3, "bucket")
+    asked = documents.sparkSession.sparkContext.broadcast((row_bitmap(sizes, bits, "bucket"), hot))  # bounded numbers of bits
     again = counted.where("copies > 1").select("bucket", "segment", F.lit(None).cast("array<int>").alias("runs"))
-    found = _search(_contents(documents, several, length, hot), length, block_bytes)
+    found = _search(_contents(documents, asked, length, True), length, block_bytes)
     if hot.any():
-        found = found.unionByName(_hot_windows(_contents(documents, hot, length), length))
-    marks = again.unionByName(materialize(found, "segment_marks"))
-    absolute = F.expr(f"if(runs IS NULL, array(start, start + windows + {length - 1}), transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0)))")
-    spans = places.join(marks, ["bucket", "segment"]).select("row", absolute.alias("part"))
+        found = found.unionByName(_hot_windows(_contents(documents, asked, length, False), length))
+    found = materialize(found.join(again.select("bucket", "segment"), ["bucket", "segment"], "left_anti"), "segment_marks")
+    asked.destroy()
+    tidy(documents.sparkSession)
+    marks = again.unionByName(found)  # a row a segment
+    chains = _chains(places, row_bitmap(again, bits, "segment"), row_bitmap(found, bits, "segment"))
+    members = chains.groupBy("chain").agg(F.first("members").alias("members")).select("chain", F.explode("members").alias("x")).select("chain", "x.*")
+    relative = F.expr(f"if(runs IS NULL, array(offset, offset + windows + {length - 1}), transform(runs, (x, i) -> offset + x + if(i % 2 = 1, {length - 1}, 0)))")
+    covered = members.join(marks, ["bucket", "segment"]).groupBy("chain").agg(F.flatten(F.collect_list(relative)).alias("ranges"))
+    spans = chains.select("row", "start", "chain").join(materialize(covered, "chain_ranges"), "chain").select("row", F.expr("transform(ranges, x -> start + x)").alias("part"))
     return spans.groupBy("row").agg(F.flatten(F.collect_set("part")).alias("spans"))
 
 
@@ -319,7 +389,7 @@ def removed(documents: DataFrame, length: int = 200, as_text: bool = False, **ho
     bitmap of row hashes tells which these may be.
     """
     spans = materialize(repeated_spans(documents, length, **how), "removal_spans")
-    shared = documents.sparkSession.sparkContext.broadcast(row_bitmap(spans))  # a fixed number of bits
+    shared = documents.sparkSession.sparkContext.broadcast(row_bitmap(spans))  # a bounded number of bits
     base = documents.select(F.struct("*").alias("own"), F.xxhash64("doc_id", "text").alias("row"))
     kind = pa.string() if as_text else pa.binary()
 
