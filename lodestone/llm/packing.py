@@ -17,7 +17,9 @@ Repeated rows are packed each.  An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -144,97 +146,114 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for entries in open_bins.values() for x in entries]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int) -> list[Filling]:
+class Effort:
+    """Steps that a search may still take; what it holds when they are used up stays."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def fillings(counts: dict[int, int], room: int, waste: int, limit: int, effort: Effort) -> list[Filling]:
     """Undominated fillings of ``room`` that waste at most ``waste``, the least wasteful first."""
     sizes = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
     found: list[tuple[int, Filling]] = []
     steps = 0
+    most = min(50 * limit, max(effort.left, 2 * len(sizes)))
+
+    def dominated(room_left: int, held: list[tuple[int, int]]) -> bool:
+        """Could one piece be exchanged for a larger one that is left over and still fits?"""
+        used = dict(held)
+        for i, _ in held:
+            j = i - 1
+            while j >= 0 and sizes[j] <= sizes[i] + room_left:
+                if used.get(j, 0) < counts[sizes[j]]:
+                    return True
+                j -= 1
+        return False
 
     def grow(at: int, room_left: int, held: list[tuple[int, int]]) -> None:
         nonlocal steps
         steps += 1
-        if len(found) >= limit or steps > 50 * limit:
+        if room_left <= waste and not dominated(room_left, held):
+            found.append((room_left, tuple((sizes[i], n) for i, n in held)))
+        if room_left == 0:
             return
-        if room_left <= waste:
-            # dominated if one piece could be exchanged for a larger one that is left over and still fits
-            used = dict(held)
-            if not any(used.get(k, 0) < counts[k] and s < k <= s + room_left for s in used for k in sizes):
-                found.append((room_left, tuple(held)))
-                if room_left == 0:
+        for i in range(bisect_left(sizes, -room_left, lo=at, key=neg), len(sizes)):
+            for n in range(min(counts[sizes[i]], room_left // sizes[i]), 0, -1):
+                if len(found) >= limit or steps > most:
                     return
-        for i in range(at, len(sizes)):
-            k = sizes[i]
-            if k > room_left:
-                continue
-            for n in range(min(counts[k], room_left // k), 0, -1):
-                grow(i + 1, room_left - n * k, [*held, (k, n)])
+                grow(i + 1, room_left - n * sizes[i], [*held, (i, n)])
 
     grow(0, room, [])
+    effort.left -= steps
     return [f for _, f in sorted(found, key=lambda x: (x[0], [(-k, n) for k, n in x[1]]))]
 
 
-def complete(counts: dict[int, int], capacity: int, incumbent: int, bound: int, nodes: int = 4000, width: int = 24) -> list[tuple[Filling, int]] | None:
-    """Bin completion by depth-first branch and bound; a packing in fewer sequences than ``incumbent``, or None."""
+def complete(counts: dict[int, int], capacity: int, incumbent: int, effort: Effort, width: int = 24) -> list[tuple[Filling, int]] | None:
+    """Bin completion by depth-first branch and bound; a packing in fewer sequences than ``incumbent``, or None.
+
+    A filling is used as often as it can be before the next is looked for.  The
+    first dive always runs to its end; going back ends with the effort.
+    """
     total = sum(k * n for k, n in counts.items())
     budget = (incumbent - 1) * capacity - total
     if budget < 0:
         return None
     left = dict(counts)
-    visited = 0
-
-    def descend(waste: int, plan: list[tuple[Filling, int]]) -> list[tuple[Filling, int]] | None:
-        nonlocal visited
-        trail: list[list] = []
-        while True:
-            visited += 1
-            largest = max((k for k, n in left.items() if n), default=0)
-            if not largest:
-                return plan + [x for frame in trail for x in frame[2]]
-            left[largest] -= 1
-            options = fillings(left, capacity - largest, waste, width)
-            left[largest] += 1
-            frame = [iter(options), waste, [], None]
-            trail.append(frame)
-            while trail:
-                frame = trail[-1]
-                if frame[3]:
-                    for k, n in frame[3].items():
-                        left[k] += n
-                    frame[2], frame[3] = [], None
-                option = next(frame[0], None) if visited <= nodes else None
-                if option is None:
-                    trail.pop()
-                    continue
-                whole = dict(option)
-                top = max((k for k, n in left.items() if n), default=0)
-                whole[top] = whole.get(top, 0) + 1
-                lost = capacity - sum(k * n for k, n in whole.items())
-                times = min(left[k] // n for k, n in whole.items())
-                if lost:
-                    times = min(times, frame[1] // lost)
-                if times < 1:
-                    continue
-                used = {k: n * times for k, n in whole.items()}
-                for k, n in used.items():
-                    left[k] -= n
-                frame[2], frame[3] = [(tuple(sorted(whole.items(), reverse=True)), times)], used
-                waste = frame[1] - lost * times
-                break
-            else:
-                return None
+    trail: list[list] = []  # fillings to try, waste allowed, pattern and repeats, pieces used
+    waste = budget
+    while True:
+        largest = max((k for k, n in left.items() if n), default=0)
+        if not largest:
+            return [frame[2] for frame in trail]
+        left[largest] -= 1
+        options = fillings(left, capacity - largest, waste, width, effort)
+        left[largest] += 1
+        trail.append([iter(options), waste, None, {}])
+        while trail:
+            frame = trail[-1]
+            back = bool(frame[3])
+            for k, n in frame[3].items():
+                left[k] += n
+            frame[2], frame[3] = None, {}
+            option = None if back and effort.left <= 0 else next(frame[0], None)
+            if option is None:
+                trail.pop()
+                continue
+            whole = dict(option)
+            top = max(k for k, n in left.items() if n)
+            whole[top] = whole.get(top, 0) + 1
+            lost = capacity - sum(k * n for k, n in whole.items())
+            times = min(left[k] // n for k, n in whole.items())
+            if lost:
+                times = min(times, frame[1] // lost)
+            if times < 1:
+                continue
+            frame[3] = {k: n * times for k, n in whole.items()}
+            for k, n in frame[3].items():
+                left[k] -= n
+            frame[2] = (tuple(sorted(whole.items(), reverse=True)), times)
+            waste = frame[1] - lost * times
+            break
+        else:
+            return None
 
-    return descend(budget, [])
 
+def pack_histogram(counts: dict[int, int], capacity: int, steps: int = 200_000) -> list[tuple[Filling, int]]:
+    """Patterns (contents, repeats) that hold all pieces in as few sequences as found.
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Patterns (contents, repeats) that hold all pieces in as few sequences as found."""
+    steps: of the search in all, a few seconds'; it ends at once where the
+    incumbent meets the lower bound.  A packing that stays above the bound when
+    they are used up is not proven to be the best.
+    """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     best = best_fit(counts, capacity)
     used, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    while used > bound:
-        better = complete(counts, capacity, used, bound)
+    effort = Effort(steps)
+    while used > bound and effort.left > 0:
+        better = complete(counts, capacity, used, effort)
         if better is None:
             break
         best, used = better, sum(n for _, n in better)
