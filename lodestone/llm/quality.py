@@ -108,19 +108,21 @@ class QualityModel:
         return self.calibrated(self.features(stats) @ self.weights)
 
 
-def statistics_table(documents: DataFrame) -> DataFrame:
-    """doc_id, fold (crc32 of the id mod 5) and the statistics of every row, written once."""
-    spark = documents.sparkSession
+def statistics_table(documents: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """doc_id, fold (crc32 of the id mod 5) and the statistics of every row, written once; with ``whole_rows`` also ``own``, a struct of the row's columns."""
     names = [f"s{i}" for i in range(STATS)]
+    carried = [F.col("doc_id"), (crc_of_id() % 5).cast("int").alias("fold"), *([F.struct("*").alias("own")] if whole_rows else [])]
+    lean = documents.select(*carried, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([document_statistics(t) for t in byte_values(b.column(2))], dtype=np.float64).reshape(-1, STATS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(rows[:, i]) for i in range(STATS))], names=["doc_id", "fold", *names])
+            rows = np.array([document_statistics(t) for t in byte_values(b.columns[-1])], dtype=np.float64).reshape(-1, STATS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(rows[:, i]) for i in range(STATS))], names=[*b.schema.names[:-1], *names])
 
-    lean = documents.select("doc_id", (crc_of_id() % 5).cast("int").alias("fold"), F.col("text").cast("string").alias("text"))
-    out = lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, fold int, " + ", ".join(f"{x} double" for x in names))
-    return materialize(out, "quality_statistics")
+    schema = lean.drop("_text").schema
+    for x in names:
+        schema = schema.add(x, "double")
+    return materialize(lean.mapInArrow(run, schema), "quality_statistics")
 
 
 def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -234,14 +236,16 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
-    """The rows of ``documents`` that the classifier predicts good, with their columns as they are."""
-    statistics = statistics_table(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(train(statistics, labels, **fit))
-    at = documents.columns.index("text")
+    """The rows of ``documents`` that the classifier predicts good, with their columns as they are.
+
+    Rows are written once beside their statistics, so texts are read once.
+    """
+    statistics = statistics_table(documents, whole_rows=True)
+    shared = documents.sparkSession.sparkContext.broadcast(train(statistics.drop("own"), labels, **fit))
+    lean = statistics.drop("doc_id", "fold")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = np.array([document_statistics(t) for t in byte_values(b.column(at))], dtype=np.float64).reshape(-1, STATS)
-            yield b.filter(pa.array(shared.value.score(stats) >= threshold))
+            yield b.filter(pa.array(shared.value.score(_stats_of(b)) >= threshold)).select(["own"])
 
-    return documents.mapInArrow(run, documents.schema)
+    return lean.mapInArrow(run, lean.select("own").schema).select("own.*")
