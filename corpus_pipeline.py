@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, jaccard, packing, quality, substrings
-from lodestone.llm.common import bounded_batches
+from lodestone.llm.common import bounded_batches, tidy
 from lodestone.session import table
 from lodestone.storage import materialize
 
@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        tidy(spark)
     return docs
