@@ -22,7 +22,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = telephony.store_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = telephony.decode_media(telephony.write_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return stored.select("own.doc_id", "n_bytes", *(name for name, _, _ in telephony.DIGESTS if name != "pcm"))
 
 

@@ -3,8 +3,8 @@
 ``encode_media`` stores a payload losslessly as the 8-bit codes of a RIFF file.
 ``decode_media`` reads stored files: it expands G.711 codes by lookup tables,
 decodes ADPCM with numpy across all blocks of many rows, resamples, and gives
-16-bit PCM as a column beside digests of the stored bytes.  ``store_media``
-writes both tables, so what it returns comes from stored bytes.
+16-bit PCM as a column beside digests of the stored bytes.  ``write_media``
+writes the media table, ``store_media`` that and the table of resampled PCM.
 
 Defined results.  A null or empty text is a payload of 64 zero bytes; any other,
 however long, is padded with zero bytes to a multiple of 64.  Equal texts give
@@ -266,6 +266,11 @@ def decode_media(df: DataFrame, rate: int = 6000, chunk_samples: int = 1 << 20)
     return lean.mapInArrow(run, schema)
 
 
+def write_media(df: DataFrame, text: str = "text", codec: str = "mulaw") -> DataFrame:
+    """The media table as ``encode_media`` gives it, written and reread."""
+    return materialize(encode_media(df, text, codec), "media")
+
+
 def store_media(df: DataFrame, text: str = "text", codec: str = "mulaw", rate: int = 6000) -> DataFrame:
-    """The table of resampled PCM with its digests, as ``decode_media`` gives it, decoded from the written media table and written itself."""
-    return materialize(decode_media(materialize(encode_media(df, text, codec), "media"), rate), "pcm")
+    """The table of resampled PCM with its digests, decoded from the written media table and written itself."""
+    return materialize(decode_media(write_media(df, text, codec), rate), "pcm")
