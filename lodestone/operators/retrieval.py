@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,22 +137,111 @@ def postings(documents: DataFrame, did: str, tokens: str) -> tuple[DataFrame, Da
     return terms, lengths
 
 
-def bm25(documents: DataFrame, queries: DataFrame, did: str = "doc_id", tokens: str = "tokens", qid: str = "query_id", terms: str = "terms", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 score of every document that has a term of a query.
+def term_weights(documents: DataFrame, queries: DataFrame, tokens: str, qid: str, terms: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, term, idf) of the query terms that some document has, and one row of n_docs and avgdl.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Documents are cut to the query
-    terms by a semi-join before they are counted, so postings of other terms are
-    never built; document frequency joins at term level.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), counted over all documents.
     """
-    wanted = queries.select(qid, F.explode(F.array_distinct(terms)).alias("term"))
-    base = documents.select(did, tokens, F.size(tokens).alias("dl"))
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = base.select(did, "dl", F.explode(tokens).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", did).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = queries.select(qid, F.explode(F.array_distinct(terms)).alias("term")).distinct()
+    stats = documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
+    held = documents.select(F.explode(F.array_distinct(tokens)).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").join(F.broadcast(stats)).withColumn("idf", idf)  # one row of statistics
+    return wanted.join(df, "term").join(F.broadcast(stats)).select(qid, "term", idf.alias("idf")), stats  # one row of statistics
+
+
+def bm25(documents: DataFrame, queries: DataFrame, did: str = "doc_id", tokens: str = "tokens", qid: str = "query_id", terms: str = "terms", k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """BM25 score of every document that has a term of a query; for the best few of each query see ``bm25_top_k``.
+
+    Documents are cut to the query terms by a semi-join before they are counted,
+    so postings of other terms are never built.  ``only`` (a table of ids) cuts
+    them further; frequencies and lengths are those of all documents.
+    """
+    weights, stats = term_weights(documents, queries, tokens, qid, terms)
+    base = documents.select(did, tokens, F.size(tokens).alias("dl"))
+    if only is not None:
+        base = base.join(only, did, "left_semi")
+    hits = base.select(did, "dl", F.explode(tokens).alias("term")).join(weights.select("term").distinct(), "term", "left_semi").groupBy("term", did).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weights.join(hits, "term").groupBy(qid, did).agg(F.sum(part).alias("bm25"))
+    return weights.join(hits, "term").join(F.broadcast(stats)).groupBy(qid, did).agg(F.sum(part).alias("bm25"))  # one row of statistics
+
+
+def bm25_top_k(documents: DataFrame, queries: DataFrame, k: int, did: str = "doc_id", tokens: str = "tokens", qid: str = "query_id", terms: str = "terms", k1: float = 1.2, b: float = 0.75, digits: int = 6, block_bytes: int = 16 << 20) -> DataFrame:
+    """The k best documents of each query by BM25 rounded to ``digits``, ties to the smaller id: exact, ranked from 1.
+
+    Queries travel in blocks of at most ``block_bytes`` of terms, each one pass
+    over the documents; a task keeps its k best of every query, so pairs of
+    query and document are never shuffled.  Each row of ``documents`` is a
+    document; rows without an id are left out, but counted.
+    """
+    spark = documents.sparkSession
+    weights, stats = term_weights(documents, queries, tokens, qid, terms)
+    avgdl = stats.first()["avgdl"]
+    shape = f"{qid} {queries.schema[qid].dataType.simpleString()}, {did} long, bm25 double"
+    lean = documents.where(F.col(did).isNotNull()).select(F.col(did).cast("long").alias(did), tokens)
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, words, idf, ends, asking = shared.value
+            words = pa.array(words, pa.string())
+            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query, score, id
+            step = max(1, (1 << 21) // len(names))  # at most 16 MB of scores at a time
+            for batch in batches:
+                for lo in range(0, len(batch), step):
+                    part = batch.slice(lo, step)
+                    n, ids = len(part), part.column(0).to_numpy()
+                    length = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy().astype(np.int64)
+                    at = pc.fill_null(pc.index_in(part.column(1).flatten(), value_set=words), -1).to_numpy().astype(np.int64)
+                    posting, tf = np.unique((at * n + np.repeat(np.arange(n), length))[at >= 0], return_counts=True)
+                    term, doc = posting // n, posting % n
+                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl))
+                    scores = np.zeros((len(names), n))
+                    cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1)).tolist()
+                    for x, y in zip(cuts, cuts[1:]):
+                        w = term[x]
+                        scores[np.ix_(asking[ends[w] : ends[w + 1]], doc[x:y])] += weight[x:y]
+                    hit = scores > 0  # every idf is above zero
+                    scores = np.floor(scores * 10**digits + 0.5) / 10**digits
+                    if n > k:
+                        hit &= scores >= np.partition(scores, n - k, axis=1)[:, n - k, None]
+                    q, d = np.nonzero(hit)
+                    q, s, i = np.concatenate([best[0], q]), np.concatenate([best[1], scores[q, d]]), np.concatenate([best[2], ids[d]])
+                    order = np.lexsort((i, -s, q))
+                    first = np.searchsorted(q[order], q[order], "left")
+                    order = order[np.arange(len(order)) - first < k]
+                    best = q[order], s[order], i[order]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[2]), pa.array(best[1])], names=[qid, did, "bm25"])
+
+        return run
+
+    out = None
+    for block in _term_blocks(weights, qid, block_bytes):
+        part = lean.mapInArrow(search(spark.sparkContext.broadcast(block)), shape)  # at most block_bytes of terms
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], shape)
+    return top_k(out, [qid], [F.desc("bm25"), F.col(did)], k)
+
+
+def _term_blocks(weights: DataFrame, qid: str, block_bytes: int) -> Iterator[tuple[pa.Array, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Query ids, terms, their idf, and the queries of each term end to end with the places where they begin."""
+
+    def block(rows):
+        idf = {w: v for r in rows for w, v in r["held"]}
+        place = {w: i for i, w in enumerate(idf)}
+        pairs = np.array([(place[w], q) for q, r in enumerate(rows) for w, _ in r["held"]])
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        return pa.array([r[qid] for r in rows]), list(idf), np.array(list(idf.values())), np.searchsorted(pairs[:, 0], np.arange(len(idf) + 1)), pairs[:, 1]
+
+    rows, held = [], 0
+    for r in weights.groupBy(qid).agg(F.collect_list(F.struct("term", "idf")).alias("held")).toLocalIterator():  # a row holds one query's terms
+        rows.append(r)
+        held += sum(len(w.encode()) + 16 for w, _ in r["held"])
+        if held >= block_bytes:
+            yield block(rows)
+            rows, held = [], 0
+    if rows:
+        yield block(rows)
 
 
 def confidence(ranked: DataFrame, qid: str, score: str, rank: str, text: str, title: str, must: Column, words: Column, gain: Column | None = None) -> DataFrame:

@@ -66,21 +66,20 @@ _BM25 = f"""WITH d AS (SELECT doc_id, {_TOK} AS tokens FROM documents), s AS (SE
     SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM q JOIN f USING (term) JOIN h USING (term), s GROUP BY 1, 2"""
 
 
-def _bm25(t: Tables):
+def _bm25_tables(t: Tables):
     docs = t("documents").select("doc_id", X.tokens("text").alias("tokens"))
-    asked = t("benchmark").select(F.col("item_id").alias("query_id"), X.tokens("text").alias("terms"))
-    return R.bm25(docs, asked).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    return docs, t("benchmark").select(F.col("item_id").alias("query_id"), X.tokens("text").alias("terms"))
 
 
 @query("j07_bm25_top10", f"SELECT query_id, doc_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM ({_BM25})) WHERE rank <= 10")
 def _(t: Tables):
-    return R.top_k(_bm25(t), ["query_id"], [F.desc("bm25"), F.col("doc_id")], 10).select("query_id", "doc_id", "bm25")
+    return R.bm25_top_k(*_bm25_tables(t), 10).select("query_id", "doc_id", "bm25")
 
 
 @query("d16_bm25_of_candidates", f"SELECT query_id, doc_id, bm25 FROM ({_BM25}) WHERE doc_id % 100 = 0")
 def _(t: Tables):
     asked = t("documents").where("doc_id % 100 = 0").select("doc_id")
-    return _bm25(t).join(asked, "doc_id", "left_semi").select("query_id", "doc_id", "bm25")
+    return R.bm25(*_bm25_tables(t), only=asked).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(
@@ -96,7 +95,7 @@ def _(t: Tables):
     shared = held.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
     listed = R.top_k(shared, ["query_id"], [F.desc("shared"), F.col("doc_id")], 20).select("query_id", "doc_id")
     sizes = listed.groupBy("query_id").agg(F.count("*").alias("n"))
-    first = R.top_k(_bm25(t), ["query_id"], [F.desc("bm25"), F.col("doc_id")], 1000)
+    first = R.bm25_top_k(*_bm25_tables(t), 1000)
     return first.join(listed.join(sizes, "query_id"), ["query_id", "doc_id"]).where("rank <= least(10 * n, 1000)").select("query_id", "doc_id", "bm25")
 
 
