@@ -33,6 +33,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embeddin
     kinds = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
     shape = f"{qid} long, {vid} long, distance double" + "".join(f", {g} {kinds[g]}" for g in groups)
 
+    def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "l2sq":
+            d = np.zeros((len(q), len(x)))
+            for a, c in zip(q.T, x.T, strict=True):  # by dimension: differences never cancel, and no array has three sides
+                d += (a[:, None] - c[None, :]) ** 2
+            return d
+        if metric == "cosine":
+            return 1 - (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+        return 1 - q @ x.T
+
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
@@ -43,20 +53,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embeddin
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
                 own = b.column(0).to_numpy()
                 names = list(zip(*(b.column(2 + i).to_pylist() for i in range(len(groups))), strict=True)) if groups else [()] * len(b)
+                step = max(1, (1 << 21) // len(q))  # at most 16 MB of distances at a time
                 for name in dict.fromkeys(names):
-                    at = np.array([i for i, n in enumerate(names) if n == name]) if groups else np.arange(len(b))
-                    part = x[at]
-                    if metric == "l2sq":
-                        d = ((q[:, None, :] - part[None, :, :]) ** 2).sum(axis=2) if q.size * len(part) < 1 << 24 else (q * q).sum(1)[:, None] + (part * part).sum(1)[None, :] - 2 * q @ part.T
-                    elif metric == "cosine":
-                        d = 1 - (q @ part.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(part, axis=1)[None, :], 1e-300)
-                    else:
-                        d = 1 - q @ part.T
-                    i = np.broadcast_to(own[at], d.shape)
-                    if name in best:
-                        d, i = np.hstack([best[name][0], d]), np.hstack([best[name][1], i])
-                    order = np.lexsort((i, d))[:, :k]
-                    best[name] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                    every = np.array([i for i, n in enumerate(names) if n == name]) if groups else np.arange(len(b))
+                    for at in np.split(every, range(step, len(every), step)):
+                        d = distances(q, x[at])
+                        i = np.broadcast_to(own[at], d.shape)
+                        if name in best:
+                            d, i = np.hstack([best[name][0], d]), np.hstack([best[name][1], i])
+                        order = np.lexsort((i, d))[:, :k]
+                        best[name] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             for name, (d, i) in best.items():
                 rows, width = d.shape
                 columns = [pa.array(np.repeat(ids, width)), pa.array(i.reshape(-1)), pa.array(d.reshape(-1))]
@@ -137,17 +143,21 @@ def postings(documents: DataFrame, did: str, tokens: str) -> tuple[DataFrame, Da
     return terms, lengths
 
 
-def term_weights(documents: DataFrame, queries: DataFrame, tokens: str, qid: str, terms: str) -> tuple[DataFrame, DataFrame]:
-    """(qid, term, idf) of the query terms that some document has, and one row of n_docs and avgdl.
+def corpus_statistics(documents: DataFrame, tokens: str) -> DataFrame:
+    """One row: n_docs and avgdl."""
+    return documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
+
+
+def term_weights(documents: DataFrame, queries: DataFrame, stats: DataFrame, tokens: str, qid: str, terms: str) -> DataFrame:
+    """(qid, term, idf) of the query terms that some document has.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)), counted over all documents.
     """
     wanted = queries.select(qid, F.explode(F.array_distinct(terms)).alias("term")).distinct()
-    stats = documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
     held = documents.select(F.explode(F.array_distinct(tokens)).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return wanted.join(df, "term").join(F.broadcast(stats)).select(qid, "term", idf.alias("idf")), stats  # one row of statistics
+    return wanted.join(df, "term").join(F.broadcast(stats)).select(qid, "term", idf.alias("idf"))  # one row of statistics
 
 
 def bm25(documents: DataFrame, queries: DataFrame, did: str = "doc_id", tokens: str = "tokens", qid: str = "query_id", terms: str = "terms", k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
@@ -157,7 +167,8 @@ def bm25(documents: DataFrame, queries: DataFrame, did: str = "doc_id", tokens:
     so postings of other terms are never built.  ``only`` (a table of ids) cuts
     them further; frequencies and lengths are those of all documents.
     """
-    weights, stats = term_weights(documents, queries, tokens, qid, terms)
+    stats = corpus_statistics(documents, tokens)
+    weights = term_weights(documents, queries, stats, tokens, qid, terms)
     base = documents.select(did, tokens, F.size(tokens).alias("dl"))
     if only is not None:
         base = base.join(only, did, "left_semi")
@@ -175,8 +186,9 @@ def bm25_top_k(documents: DataFrame, queries: DataFrame, k: int, did: str = "doc
     document; rows without an id are left out, but counted.
     """
     spark = documents.sparkSession
-    weights, stats = term_weights(documents, queries, tokens, qid, terms)
-    avgdl = stats.first()["avgdl"]
+    n_docs, avgdl = corpus_statistics(documents, tokens).first()
+    counted = spark.range(1).select(F.lit(n_docs).alias("n_docs"))
+    weights = term_weights(documents, queries, counted, tokens, qid, terms)
     shape = f"{qid} {queries.schema[qid].dataType.simpleString()}, {did} long, bm25 double"
     lean = documents.where(F.col(did).isNotNull()).select(F.col(did).cast("long").alias(did), tokens)
 
