@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, hmm, jaccard, licences, packing, quality, substrings, telephony, warc, wrappers
+from lodestone.llm import decontaminate, hmm, jaccard, licences, oracles, packing, quality, substrings, telephony, warc, wrappers
 from lodestone.llm.common import bounded_batches
 from lodestone.session import table as plain_table
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": oracles.DECONTAMINATE}
