@@ -19,3 +19,19 @@ hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM met WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+JACCARD = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+sets AS (
+    SELECT r, doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda p: array_to_string(words[p:p + 4], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles
+    FROM docs),
+held AS (SELECT r, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (
+    SELECT a.r AS one, b.r AS other FROM held a JOIN held b ON a.shingle = b.shingle AND a.r <> b.r
+    GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))),
+reach AS (SELECT r, r AS at FROM docs UNION SELECT reach.r, links.other FROM reach JOIN links ON reach.at = links.one),
+named AS (SELECT reach.r, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.at GROUP BY reach.r)
+SELECT doc_id, len(shingles) AS n_shingles, component_id FROM sets JOIN named USING (r)"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.DECONTAMINATE}
+    return {"op3_decontaminate": oracles.DECONTAMINATE, "op4_jaccard": oracles.JACCARD}
