@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, hmm, jaccard, licences, lines, oracles, packing, quality, substrings, telephony, warc, wrappers
+from lodestone.llm import ballcode, decontaminate, hmm, interaction, jaccard, licences, lines, oracles, packing, quality, substrings, telephony, warc, wrappers
 from lodestone.llm.common import bounded_batches
 from lodestone.session import table as plain_table
 
@@ -58,14 +58,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_index(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballcode.code_report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard, op5_licences, op6_suffix, op7_language_model, op8_packing, op9_extraction, op10_warc, op13_line_dedup)
+    found = (op1_quality, op2_telephony, op3_decontaminate, op4_jaccard, op5_licences, op6_suffix, op7_language_model, op8_packing, op9_extraction, op10_warc, op11_filter_audit, op12_vector_codes, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.DECONTAMINATE, "op4_jaccard": oracles.JACCARD, "op13_line_dedup": oracles.LINES}
+    return {
+        "op3_decontaminate": oracles.DECONTAMINATE, "op4_jaccard": oracles.JACCARD, "op11_filter_audit": oracles.INTERACTION, "op12_vector_codes": oracles.VECTOR_CODES,
+        "op13_line_dedup": oracles.LINES,
+    }
