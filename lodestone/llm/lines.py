@@ -64,7 +64,8 @@ def shared_keys(keyed: DataFrame, least_documents: int) -> DataFrame:
 def without_shared_lines(documents: DataFrame, least_documents: int = 2, least_chars: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """own (the row's columns), n_lines, n_dropped and kept (the lines left, joined by ``\\n``) of every row."""
     keyed = materialize(keyed_lines(documents, least_chars, doc, text), "lines")
-    dropped = keyed.join(shared_keys(keyed, least_documents), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    shared = materialize(shared_keys(keyed, least_documents), "shared")  # written, so that nothing but exchanges stands under the join
+    dropped = keyed.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     places = dropped.groupBy("id", "th", "tn").agg(F.collect_set("at").alias("gone"))
     rows = documents.select(F.struct("*").alias("own"), F.col(doc).alias("id"), *row_key(text)).alias("r")
     same = F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.th") == F.col("p.th")) & (F.col("r.tn") == F.col("p.tn"))
