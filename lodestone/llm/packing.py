@@ -16,6 +16,7 @@ Repeated rows are packed each.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 
 from lodestone.storage import materialize
 
+#: A run of white space from which the tokenizer's own library takes over.
+LONG_RUN = 5000
+LONG_BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 Filling = tuple[tuple[int, int], ...]
 
 
@@ -38,19 +42,27 @@ def byte_bpe_encoder(ranks_file: str) -> Callable[[str], list[int]]:
     The usual splitting pattern treats the last blank before a word apart from
     the blanks before it; where a single blank or newline alone stands between
     words, a pattern without look-ahead splits alike and runs about twice as fast.
+    Texts with a long run of white space, on which look-ahead takes quadratic time
+    and then exhausts the stack, go to the tokenizer's own JSON file beside the ranks; the ids are the same.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {"<|endoftext|>": 50256}
     whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    library: list[tokenizers.Tokenizer] = []
     single = tiktoken.Encoding("single", pat_str=r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and LONG_BLANKS.search(text):
+            if not library:
+                library.append(tokenizers.Tokenizer.from_file(ranks_file.removesuffix(".tiktoken") + ".json"))
+            return library[0].encode(text, add_special_tokens=False).ids
         if "<|endoftext|>" in text:
             return whole.encode(text, allowed_special="all")
         if " ".join(text.split()) == text.replace("\n", " "):  # no other white space, and no two of it in a row
