@@ -44,7 +44,7 @@ from lodestone.storage import materialize
 
 SCALE = 4096
 #: Most vectors and bytes of a block; Spark passes blocks to Python 64 MB at a time.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 BLOCK_BYTES = 1 << 20
 
 
@@ -95,32 +95,31 @@ def assign_balls(x: np.ndarray, home: np.ndarray, book: np.ndarray, moved: np.nd
     moved: whether an entry changed since ``home`` was assigned.  radius: the
     squared radii of that time, which hold for entries that did not move.
     """
-    k, at = len(book), home.copy()
+    k = len(book)
     between = squared(book[:, None, :], book[None, :, :])
-    best = np.full(len(x), -1, np.int64)  # squared distance to the entry at hand, where it was computed
-    for a in range(k):
-        rivals = np.array([j for j in np.argsort(between[a], kind="stable") if j != a and (moved[a] or moved[j])], np.int64)
-        if not moved[a] and not (between[a, rivals] <= 4 * radius[a]).any():
-            continue  # nothing that moved is a neighbour of this ball
-        members = np.flatnonzero(home == a)
-        if not len(members):
-            continue
-        own = best[members] = squared(x[members], book[a])
-        rivals = rivals[between[a, rivals] <= 4 * own.max()]  # the neighbours of the ball
-        ring = np.searchsorted(between[a, rivals], 4 * own, side="right")  # how many of them may be as near
-        for t in range(ring.max(initial=0)):  # none: every member is in the stable core
-            far, j = np.flatnonzero(ring > t), rivals[t]
-            d, rows = squared(x[members[far]], book[j]), members[far]
-            nearer = (d < best[rows]) | (d == best[rows]) & (j < at[rows])
-            best[rows[nearer]], at[rows[nearer]] = d[nearer], j
-    out = np.zeros(k, np.int64)
-    for a in range(k):
-        rows = np.flatnonzero(at == a)
-        known = best[rows]
-        if (known < 0).any():  # those left where they were, of an entry that did not move
-            out[a] = radius[a]
-        out[a] = max(out[a], known.max(initial=0))
-    return at, out
+    rival = (moved[:, None] | moved[None, :]) & ~np.eye(k, dtype=bool)  # who may have come nearer
+    gap = np.where(rival, between, np.iinfo(np.int64).max)
+    order = np.argsort(gap, axis=1, kind="stable")
+    gap = np.take_along_axis(gap, order, axis=1)
+    at, out = home.copy(), np.where(moved, 0, radius)
+    rows = np.flatnonzero((moved | (gap[:, 0] <= 4 * radius))[home])  # the other balls have no neighbour that moved
+    if not len(rows):
+        return at, out
+    own = squared(x[rows], book[home[rows]])
+    np.maximum.at(out, home[rows], own)  # the balls of the moved entries; those of the others are no larger than they were
+    ball = np.where(moved, out, radius)
+    neighbour = gap <= 4 * ball[:, None]
+    ring = (neighbour[home[rows]] & (gap[home[rows]] <= 4 * own[:, None])).sum(axis=1)  # 0: in the stable core
+    best = own.copy()
+    for t in range(ring.max()):
+        far = np.flatnonzero(ring > t)
+        j = order[home[rows[far]], t]
+        d = squared(x[rows[far]], book[j])
+        nearer = (d < best[far]) | (d == best[far]) & (j < at[rows[far]])
+        best[far[nearer]], at[rows[far[nearer]]] = d[nearer], j[nearer]
+    radii = np.where(moved, 0, radius)
+    np.maximum.at(radii, at[rows], best)
+    return at, radii
 
 
 def first_blocks(rows: DataFrame, ids: list[str], width: int, parts: int, vec: str) -> DataFrame:
