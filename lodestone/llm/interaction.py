@@ -72,6 +72,7 @@ def masks_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     rows = rows.select("doc_id", "part", failures(F.col("text")).alias("mask"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     least = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")).where("copies > 1")
+    least = materialize(least, "copies")  # written, so that nothing but exchanges stands under the join
     fails_e = F.coalesce(F.col("least").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least")), F.lit(False))
     marked = rows.join(least, ["h1", "h2"], "left").select("doc_id", "part", (F.col("mask") + fails_e.cast("int") * 16).alias("mask"))
     known = labels.groupBy("doc_id").agg(*(F.max((F.col(c) == 1).cast("int")).alias(k) for c, k in (("quality", "good"), ("toxic", "toxic"))))
