@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.rules import SECURITY_RULES, hits
+
 #: Words that carry no meaning of their own.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "die", "en", "for", "from", "har", "i", "in", "is", "it", "la", "le", "of", "och", "on", "som", "that", "the", "this", "to", "und", "was", "with", "är")
 #: Pronouns that need an earlier turn to be understood.
 PRONOUNS = ("den", "det", "denna", "detta", "dessa", "he", "it", "she", "that", "they", "this")
-INJECTIONS = (r"(?i)ignore\s+(all\s+)?previous", r"(?i)system\s*prompt", r"(?i)<\s*script", r"(?i)drop\s+table", r"(?i)you\s+are\s+now", r"(?i)\bjailbreak\b")
-STATUTE = r"\b\d{4}:\d+\b"
+#: A personal number.
 PERSONAL_NUMBER = r"\b(19|20)\d{6}-?\d{4}\b"
 DATE_IN_TEXT = r"((?:19|20)\d{2})-(\d{2})-(\d{2})"
 WORD = r"[\p{L}\p{N}_]+"
@@ -39,10 +40,6 @@ def meaningful_tokens(text) -> Column:
     return F.array_distinct(F.filter(tokens(text, 3), lambda w: ~w.rlike(r"^\d+$")))
 
 
-def statutes(text) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(STATUTE), F.lit(0))
-
-
 def snippet(text, size: int = 1500) -> Column:
     """The first ``size`` characters, with an ellipsis only if something is left out."""
     t = _col(text)
@@ -86,12 +83,12 @@ def matches(text, patterns: tuple[str, ...]) -> Column:
 
 
 def unsafe_query(text, longest: int = 2000) -> Column:
-    """Injection patterns, excessive length, or mostly capitals or special characters."""
+    """Security patterns, excessive length, or mostly capitals or special characters."""
     t = _col(text)
     n = F.length(t)
     caps = F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) / n
     special = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", "")) / n
-    return (matches(text, INJECTIONS) > 0) | (n > longest) | ((n > 50) & ((caps > 0.8) | (special > 0.3)))
+    return (hits(text, SECURITY_RULES) > 0) | (n > longest) | ((n > 50) & ((caps > 0.8) | (special > 0.3)))
 
 
 def strip_html(text) -> Column:
@@ -104,7 +101,7 @@ def stable_id(prefix: str, parts: list, text) -> Column:
     return F.concat_ws("_", F.lit(prefix), *(_col(p).cast("string") for p in parts), F.substring(F.sha2(norm, 256), 1, 12))
 
 
-#: Outdated legal terms in the order in which they are corrected: term, its correction, confidence.
+#: Outdated legal terms in the order in which they are corrected: term, its correction, confidence.
 TERM_CORRECTIONS = (
     ("datainspektionen", "Integritetsskyddsmyndigheten (IMY)", 0.95),
     ("personuppgiftslagen", "GDPR och Dataskyddslagen (2018:218)", 0.98),
@@ -155,14 +152,6 @@ def title_of_url(url) -> Column:
     return F.initcap(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[-_]+", " "))
 
 
-def expand_abbreviations(text, names: dict[str, str]) -> Column:
-    """Each abbreviation, as a word, followed once by its full name in brackets."""
-    out = _col(text)
-    for short, full in names.items():
-        out = F.regexp_replace(out, rf"^(.*?)\b{short}\b", f"$1{short} ({full})")
-    return out
-
-
 def paraphrase(text) -> Column:
     """A question as a keyword phrase; other texts as their first keywords."""
     t = F.lower(F.trim(_col(text)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import PERSONAL_NUMBER
 from lodestone.plans.registry import Tables, query
 
 #: Strings that a sanitised input may not hold.
 DANGEROUS = ("<script", "javascript:", "onerror=", "onload=")
-#: A personal number, and words that tell of personal matters.
-PERSONAL_NUMBER = r"\b(19|20)\d{6}[-]?\d{4}\b"
+#: Words that tell of personal matters.
 SENSITIVE = ("personnummer", "socialförsäkring", "patientjournal", "diagno", "sjukdom", "vårdnad")
 #: Document classes by their words, the first that matches.
 CLASSES = (

@@ -128,6 +128,11 @@ def _(t: Tables):
     return t("pages").select("page_id", path.alias("path"), (F.size(F.split(path, "/")) - 1).cast("long").alias("depth"))
 
 
+@query("i46b_titles_from_urls", "SELECT page_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(string_split(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/')[-1], '[-_]+', ' ', 'g'), ' '), lambda w: TRUE), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS title FROM pages")
+def _(t: Tables):
+    return t("pages").select("page_id", X.title_of_url("url").alias("title"))
+
+
 @query("i47_name_normalisation", "SELECT c_custkey, translate(lower(c_name), '#0', '-o') AS slug FROM customer")
 def _(t: Tables):
     return t("customer").select("c_custkey", F.translate(F.lower("c_name"), "#0", "-o").alias("slug"))
