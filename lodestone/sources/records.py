@@ -45,19 +45,62 @@ def from_xml(text, schema: str) -> Column:
     return F.from_xml(text, schema)
 
 
+#: Fields of a PubMed article.
+PUBMED_SCHEMA = """MedlineCitation struct<PMID string, Article struct<ArticleTitle string, Abstract struct<AbstractText array<string>>,
+    AuthorList struct<Author array<struct<LastName string, ForeName string, Initials string, CollectiveName string>>>, Journal struct<Title string, JournalIssue struct<PubDate struct<Year string, MedlineDate string>>>>>"""
+
+
+def pubmed_articles(df: DataFrame, xml: str) -> DataFrame:
+    """``df`` with pmid, title, abstract, authors, journal and year of each article instead of its XML; the year may come from a free date."""
+    out = df.withColumn("_m", F.from_xml(xml, PUBMED_SCHEMA).MedlineCitation)
+    date = F.col("_m.Article.Journal.JournalIssue.PubDate")
+    name = lambda a: F.coalesce(F.nullif(F.trim(F.concat_ws(" ", F.coalesce(a.ForeName, a.Initials), a.LastName)), F.lit("")), a.CollectiveName)
+    authors = F.coalesce(F.array_compact(F.transform("_m.Article.AuthorList.Author", name)), F.array().cast("array<string>"))
+    return out.select(
+        *(c for c in df.columns if c != xml), F.col("_m.PMID").alias("pmid"), F.col("_m.Article.ArticleTitle").alias("title"), F.array_join("_m.Article.Abstract.AbstractText", "\n").alias("abstract"),
+        authors.alias("authors"), F.col("_m.Article.Journal.Title").alias("journal"), F.coalesce(date.Year, F.nullif(F.regexp_extract(date.MedlineDate, r"\d{4}", 0), F.lit(""))).alias("year"),
+    )
+
+
+def cms_texts(df: DataFrame, key: str, json: str, most_levels: int = 8) -> DataFrame:
+    """key and text of nested content: the heading, then every ``html`` of the body's blocks in order, at any depth up to ``most_levels``.
+
+    Tags go, white space becomes one blank, empty blocks give nothing; parts stand apart by an empty line.
+    """
+    rows = df.select(key, F.try_parse_json(json).alias("_v"))
+    head = rows.select(key, F.array(F.lit(-1)).alias("at"), F.try_variant_get("_v", "$.heading", "string").alias("t"))
+    level, found = rows.select(key, F.array().cast("array<int>").alias("at"), F.try_variant_get("_v", "$.body", "array<variant>").alias("_b")), head
+    for _ in range(most_levels):
+        each = level.select(key, "at", F.posexplode("_b").alias("_i", "_v")).select(key, F.concat("at", F.array("_i")).alias("at"), "_v")
+        found = found.unionByName(each.select(key, "at", F.try_variant_get("_v", "$.html", "string").alias("t")))
+        level = each.select(key, "at", F.try_variant_get("_v", "$.blocks", "array<variant>").alias("_b"))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("t", r"<[^>]+>", " "), r"\s+", " "))
+    parts = found.select(key, "at", clean.alias("t")).where("t <> ''")
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda p: p.t), "\n\n").alias("text"))
+
+
 def save_new_json_lines(new: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the folder does not have yet."""
-    spark = new.sparkSession
+    """Append the rows whose key the folder does not have yet, one row a key; a folder that is not there yet is empty."""
+    from pyspark.errors import AnalysisException
+
+    spark, kind = new.sparkSession, new.schema[key].dataType.simpleString()
+    fresh = new.dropDuplicates([key])
     try:
-        have = spark.read.json(path).select(key)
-    except Exception:
-        have = None
-    fresh = new if have is None else new.join(have.distinct(), key, "left_anti")
+        have = spark.read.schema(f"`{key}` {kind}").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        fresh = fresh.join(have.distinct(), key, "left_anti")
     fresh.write.mode("append").json(path)
 
 
+#: Times are written to the microsecond.
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def export_csv(df: DataFrame, path: str, *order: str) -> None:
-    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("timestampFormat", _MICROS).option("timestampNTZFormat", _MICROS).csv(path)
 
 
 def append_collection(df: DataFrame, path: str, collection: str = "collection") -> None:
