@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import Tables, query
-from lodestone.streaming import limiter, metrics
+from lodestone.streaming import limiter, metrics, queue_machine
 
 _NOW = "(SELECT max(ts) FROM events)"
 
@@ -63,3 +63,21 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return metrics.sessions(t("events"), "6 hours")
+
+
+_EVENT = "CASE event_type WHEN 'view' THEN 'enqueue' WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'trigger' WHEN 'purchase' THEN 'embed' ELSE 'fail' END"
+_STEP = """CASE WHEN s = 'none0' AND e = 'enqueue' THEN 'pending0' WHEN starts_with(s, 'pending') AND e = 'trigger' THEN 'triggered' || substr(s, 8) WHEN starts_with(s, 'triggered') AND e = 'embed' THEN 'embedded' || substr(s, 10)
+    WHEN s IN ('triggered0', 'triggered1') AND e = 'fail' THEN 'pending' || (CAST(substr(s, 10) AS INT) + 1) WHEN s = 'triggered2' AND e = 'fail' THEN 'failed3' ELSE s END"""
+
+
+@query(
+    "k07b_queue_machine",
+    f"""WITH o AS (SELECT CAST(event_id % 500 AS VARCHAR) AS item, list({_EVENT} ORDER BY ts, event_id) AS seen FROM events GROUP BY 1),
+    f AS (SELECT item, len(seen) AS n, list_reduce(list_prepend('none0', seen), lambda s, e: {_STEP}) AS last FROM o)
+    SELECT item, regexp_replace(last, '[0-9]', '') AS status, CAST(regexp_extract(last, '[0-9]') AS INT) AS failures, n AS events FROM f""",
+)
+def _(t: Tables):
+    """Items of an event log in their last state; the stream of the same log ends alike (tests)."""
+    kind = F.when(F.col("event_type").isin("view", "signup"), "enqueue").when(F.col("event_type") == "click", "trigger").when(F.col("event_type") == "purchase", "embed").otherwise("fail")
+    log = t("events").select((F.col("event_id") % 500).cast("string").alias("item"), "ts", F.col("event_id").alias("seq"), kind.alias("event"))
+    return queue_machine.final_states(log, "item", "ts", "seq", "event")
