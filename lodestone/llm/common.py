@@ -29,6 +29,13 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def joined_by_shuffle(spark: SparkSession) -> SparkSession:
+    """The session, without joins that Spark itself turns into broadcasts: each of them passes through the driver and stays there for a while."""
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    return spark
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver collect what finished steps have left.
 

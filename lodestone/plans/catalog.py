@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import q_aggregates, q_chunks, q_dialogue, q_evaluation, q_fusion, q_guards, q_index, q_inventory, q_more, q_ranking, q_records, q_retrieval, q_scans, q_segments, q_streaming, q_text  # noqa: F401  registers
+from lodestone.plans import q_aggregates, q_answers, q_chunks, q_dialogue, q_evaluation, q_fusion, q_guards, q_index, q_inventory, q_more, q_ranking, q_records, q_retrieval, q_scans, q_segments, q_streaming, q_text  # noqa: F401  registers
 from lodestone.plans.registry import REGISTRY, bind
 
 FLAGSHIP = "j05_reciprocal_rank_fusion"

@@ -138,15 +138,15 @@ def records(f: pa.NativeFile, size: int, lo: int, hi: int, inside: bool, depth:
             text, at, level, quoted = text + more, at + len(more), level + int(move.sum()), bool(out[-1])
 
 
-def read_json_records(spark: SparkSession, path: str, record_schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """file, place (where the record begins in order of the file's ranges) and the fields of every record."""
-    return record_texts(spark, path, range_bytes).select("file", "range", "pos", F.from_json("text", record_schema).alias("r")).select("file", "range", "pos", "r.*")
+def read_json_records(spark: SparkSession, path: str, record_schema: str, range_bytes: int = RANGE_BYTES, files: str = "*.json") -> DataFrame:
+    """file, range and pos (the records' order in the file) and the fields of every record."""
+    return record_texts(spark, path, range_bytes, files).select("file", "range", "pos", F.from_json("text", record_schema).alias("r")).select("file", "range", "pos", "r.*")
 
 
-def record_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def record_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, files: str = "*.json") -> DataFrame:
     """file, range, pos and text of every record; (range, pos) is their order in the file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "length")  # sizes alone, no contents
-    ranges = files.where("length > 0").select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("range", "lo"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "length")  # sizes alone, no contents
+    ranges = listed.where("length > 0").select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("range", "lo"))
     ranges = ranges.select("path", "length", "range", "lo", F.least(F.col("lo") + range_bytes, "length").alias("hi")).repartition("path", "range")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

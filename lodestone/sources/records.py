@@ -41,6 +41,9 @@ MODS_SCHEMA = "titleInfo struct<title string>, name array<struct<namePart array<
 DUBLIN_CORE_SCHEMA = "title string, creator array<string>, description string, date string, identifier array<string>, type string, subject array<string>"
 
 
+SITEMAP_SCHEMA = "loc string, `news:news` struct<`news:publication_date` string, `news:title` string>"
+
+
 def from_xml(text, schema: str) -> Column:
     return F.from_xml(text, schema)
 
