@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, jaccard, packing, quality, substrings
-from lodestone.llm.common import bounded_batches, tidy
+from lodestone.llm.common import bounded_batches, joined_by_shuffle, tidy
 from lodestone.session import table
 from lodestone.storage import materialize
 
@@ -21,27 +21,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    joined_by_shuffle(bounded_batches(spark))
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    joined_by_shuffle(bounded_batches(spark))
     return jaccard.keep_one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    joined_by_shuffle(bounded_batches(spark))
     return substrings.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    joined_by_shuffle(bounded_batches(spark))
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    joined_by_shuffle(bounded_batches(spark))
     return packing.pack(docs, packing.public_vocabulary())
 
 
