@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
+from lodestone.storage import materialize
 
 WORD = r"(?U)\w+"
 ENTITY = "struct<type:string,value:string,confidence:double>"
@@ -145,14 +146,15 @@ def rewritten(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     """``turns`` with needs, standalone, expanded, found, entities, must_include and lexical.
 
     Abbreviations that were expanded count as laws where no entity has their very spelling.
+    Both steps are written once: later columns use their values many times.
     """
     out = decontextualized(turns, conv, turn, text).withColumn("_x", expand_abbreviations("standalone"))
-    out = out.withColumn("expanded", F.col("_x.t")).withColumn("found", F.col("_x.found")).drop("_x").withColumn("_e", entities("expanded"))
+    out = materialize(out, "standalone").withColumn("expanded", F.col("_x.t")).withColumn("found", F.col("_x.found")).drop("_x").withColumn("_e", entities("expanded"))
     spelled = F.transform("_e", lambda e: e.value)
     named = F.transform(F.array_except("found", spelled), lambda a: entity("lag", a, L.NAMED_LAW_CONFIDENCE))
     out = out.withColumn("entities", F.concat("_e", named)).drop("_e")
     must = F.transform(F.filter("entities", lambda e: e["type"].isin("lag", "sfs") & (e.confidence >= 0.9)), lambda e: e.value)
-    return out.withColumn("must_include", must).withColumn("lexical", lexical_query("expanded", "entities"))
+    return materialize(out.withColumn("must_include", must).withColumn("lexical", lexical_query("expanded", "entities")), "rewritten")
 
 
 def keywords(text) -> Column:

@@ -135,7 +135,7 @@ def _(t: Tables):
 _SHORT = dict(L.ABBREVIATIONS)
 
 
-@query("d14b_detected_abbreviations", f"SELECT conv_id, turn, array_to_string(list_filter({_LIST(_SHORT)}, lambda a: regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])' || a || '($|[^\\p{{L}}\\p{{N}}_])', 'i')), ',') AS found FROM ({_Q})")
+@query("d14b_detected_abbreviations", f"SELECT conv_id, turn, array_to_string(list_filter({_LIST(_SHORT)}, lambda a: CASE WHEN contains(a, '-') THEN contains(low, lower(a)) ELSE list_contains(held, lower(a)) END), ',') AS found FROM (SELECT conv_id, turn, lower(q) AS low, {_TOKENS} AS held FROM ({_Q}))")
 def _(t: Tables):
     return questions(t).select("conv_id", "turn", F.array_join(W.detected_abbreviations("q"), ",").alias("found"))
 
