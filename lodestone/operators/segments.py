@@ -114,7 +114,8 @@ def _all(text: Column, pattern: str, *groups: int) -> Column:
 
 def code_blocks(text) -> Column:
     """(header, body) of fenced code of 50 characters and more: the instruction in the line before it, and the block."""
-    found = _all(F.coalesce(X._col(text), F.lit("")), r"([^\n]+)\n\n```(\w+)\n([\s\S]+?)\n```", 1, 2, 3)
+    # a match begins where a line does, or right behind the block before it
+    found = _all(F.coalesce(X._col(text), F.lit("")), r"(?md)(?:^|\G)([^\n]++)\n\n```(\w++)\n([\s\S]+?)\n```", 1, 2, 3)
     last = lambda c: _strip(F.element_at(F.split(_strip(c), ":", -1), -1))
     long = F.filter(found, lambda b: (F.length(b.g3) >= 50) & (last(b.g1) != ""))
     return F.transform(long, lambda b: F.struct(F.concat(F.lit("Visa hur man "), F.lower(last(b.g1))).alias("header"), F.concat(F.lit("```"), b.g2, F.lit("\n"), b.g3, F.lit("\n```")).alias("body")))
@@ -132,11 +133,14 @@ def evidence(text) -> Column:
     return F.filter(F.transform(found, lambda b: F.struct(F.concat(F.lit("#"), b.g1, F.lit(": "), b.g2).alias("header"), _strip(b.g3).alias("body"))), lambda b: F.length(b.body) > 100)
 
 
-def blocks(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, kind (section, code, timeline, evidence), pos within the kind, header and body of every block."""
-    tagged = F.array(*(F.struct(F.lit(k).alias("kind"), f(text).alias("held")) for k, f in (("section", sections), ("code", code_blocks), ("timeline", timeline), ("evidence", evidence))))
-    kinds = df.select(key, F.explode(tagged).alias("_k")).select(key, "_k.kind", F.posexplode("_k.held").alias("pos", "b"))
-    return kinds.select(key, "kind", "pos", "b.header", "b.body")
+KINDS = {"section": sections, "code": code_blocks, "timeline": timeline, "evidence": evidence}
+
+
+def blocks(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """key, kind (section, code, timeline, evidence), pos within the kind, header and body of every block of the given kinds."""
+    tagged = F.array(*(F.struct(F.lit(k).alias("kind"), KINDS[k](text).alias("held")) for k in kinds))
+    each = df.select(key, F.explode(tagged).alias("_k")).select(key, "_k.kind", F.posexplode("_k.held").alias("pos", "b"))
+    return each.select(key, "kind", "pos", "b.header", "b.body")
 
 
 def section_questions(found: DataFrame) -> DataFrame:

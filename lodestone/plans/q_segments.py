@@ -96,7 +96,7 @@ def notes(t: Tables):
 
 
 def _kind(t: Tables, kind: str):
-    got = G.blocks(notes(t), "doc_id", "m").where(F.col("kind") == kind)
+    got = G.blocks(notes(t), "doc_id", "m", (kind,))
     return got.select("doc_id", F.col("pos").cast("long").alias("pos"), "header", F.md5(F.col("body").cast("binary")).alias("h"))
 
 
@@ -133,4 +133,4 @@ _ASK = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(header), '{w}')
 
 @query("i34_section_questions", f"WITH p AS (SELECT doc_id, {_SECTIONS} AS ps FROM ({_MD})), e AS (SELECT doc_id, unnest(ps) AS p FROM p), b AS (SELECT doc_id, regexp_extract(p, '^#{{1,3}}[ \\t]+([^\\n]+)', 1) AS header, trim(regexp_replace(p, '^[^\\n]*\\n', ''), {_TRIM}) AS body FROM e) SELECT {_ASK} AS question, count(*) AS n FROM b WHERE length(body) >= 100 GROUP BY 1")
 def _(t: Tables):
-    return G.section_questions(G.blocks(notes(t), "doc_id", "m")).groupBy("question").agg(F.count("*").alias("n"))
+    return G.section_questions(G.blocks(notes(t), "doc_id", "m", ("section",))).groupBy("question").agg(F.count("*").alias("n"))
