@@ -24,9 +24,9 @@ READABLE_NAMES = (
     ("FL", "Förvaltningslagen"), ("KL", "Kommunallagen"), ("RB", "Rättegångsbalken"), ("BrB", "Brottsbalken"), ("URL", "Upphovsrättslagen"), ("AvtL", "Avtalslagen"),
     ("SkL", "Skadeståndslagen"), ("LVU", "Lagen om vård av unga"),
 )
-#: Words of a section's header, and the question that they make of it.
+#: Words of a section's header, and the question that they make of it (the first names no product here).
 SECTION_QUESTIONS = (
-    (("arkitektur", "architecture", "struktur", "structure"), "Förklara arkitekturen för %s i Simon's AI"), (("api", "endpoint", "route"), "Hur fungerar %s?"),
+    (("arkitektur", "architecture", "struktur", "structure"), "Förklara arkitekturen för %s i systemet"), (("api", "endpoint", "route"), "Hur fungerar %s?"),
     (("workflow", "flöde", "process"), "Beskriv %s processen"), (("config", "konfig", "setting", "parameter"), "Hur konfigurerar jag %s?"),
     (("felsök", "debug", "troubleshoot", "problem"), "Hur felsöker jag %s?"), (("install", "setup", "start", "börja"), "Hur sätter jag upp %s?"),
 )

@@ -57,4 +57,4 @@ def test_blocks(spark):
     assert got[1, "code"] == [("Visa hur man så här", "```sh\n" + "kommando " * 10 + "\n```")]
     assert [h for h, _ in got[1, "timeline"]] == ["2020-01-02"] and [h for h, _ in got[1, "evidence"]] == ["#7: Titel"]
     asked = [r.question for r in G.section_questions(G.blocks(df.where("k = 1"), "k")).orderBy("pos").collect()]
-    assert asked == ["Förklara arkitekturen för Arkitektur för allt i Simon's AI", "Vad är 2020-01-02?", "Vad är 7. **Titel** ***?"]
+    assert asked == ["Förklara arkitekturen för Arkitektur för allt i systemet", "Vad är 2020-01-02?", "Vad är 7. **Titel** ***?"]
