@@ -40,4 +40,4 @@ def test_one_of_each(spark):
 
 def test_registered():
     names = queries()
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
