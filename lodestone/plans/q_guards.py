@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import PERSONAL_NUMBER
+from lodestone.functions.text import EDGE, PERSONAL_NUMBER
 from lodestone.plans.registry import Tables, query
 
 #: Strings that a sanitised input may not hold.
@@ -40,7 +40,7 @@ def _(t: Tables):
 
 @query("c28_sensitive_content", "SELECT doc_id, regexp_matches(text, '" + PERSONAL_NUMBER + "') OR " + " OR ".join(f"contains(lower(text), '{w}')" for w in SENSITIVE) + " AS sensitive FROM documents")
 def _(t: Tables):
-    found = F.col("text").rlike(PERSONAL_NUMBER)
+    found = F.col("text").rlike(PERSONAL_NUMBER.replace(r"\b", EDGE))
     for w in SENSITIVE:
         found = found | F.contains(F.lower("text"), F.lit(w))
     return t("documents").select("doc_id", found.alias("sensitive"))

@@ -103,7 +103,7 @@ def _(t: Tables):
 @query("d14_dictionary_in_text", "SELECT doc_id, CAST(contains(text, 'MIT') AS BIGINT) + CAST(contains(text, 'GNU') AS BIGINT) + CAST(contains(text, 'Apache') AS BIGINT) AS names FROM documents WHERE regexp_matches(text, '\\b(MIT|GNU|Apache)\\b')")
 def _(t: Tables):
     found = sum((F.contains("text", F.lit(n)).cast("long") for n in ("MIT", "GNU", "Apache")), F.lit(0).cast("long"))
-    return t("documents").where(F.col("text").rlike(r"\b(MIT|GNU|Apache)\b")).select("doc_id", found.alias("names"))
+    return t("documents").where(F.col("text").rlike(f"{X.EDGE}(MIT|GNU|Apache){X.EDGE}")).select("doc_id", found.alias("names"))
 
 
 @query("i17_expanded_queries", "SELECT item_id, CAST(len(list_distinct([text, array_to_string(list_slice(w, 1, 10), ' '), array_to_string(list_slice(w, 1, 5), ' ')])) AS BIGINT) AS n FROM (SELECT item_id, text, list_filter(t, lambda x, i: list_position(t, x) = i AND length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")) AS w FROM (SELECT item_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM benchmark))")
