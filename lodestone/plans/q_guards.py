@@ -104,7 +104,8 @@ _SIGNALS = "SELECT user_id, count(*) FILTER (event_type = 'click') * 1.0 / count
     CASE WHEN confidence < 0.25 THEN 'confidence=' || printf('%.2f', confidence) || '<0.25' END, CASE WHEN NOT entities AND overlap < 0.3 THEN 'no_entities_low_overlap' END) AS reason FROM ({_SIGNALS}))""")
 def _(t: Tables):
     share = F.count(F.when(F.col("event_type") == "click", 1)) / F.count("*")
-    s = t("events").groupBy("user_id").agg(share.alias("overlap"), (F.max("value") / 1000).alias("top"), F.round(F.avg("value") / 400, 2).alias("confidence"), F.bool_or(F.col("event_type") == "purchase").alias("entities"))
+    mean = F.round(F.avg("value") / 400, 9)  # a sum's last digits depend on its order, and must not decide a half
+    s = t("events").groupBy("user_id").agg(share.alias("overlap"), (F.max("value") / 1000).alias("top"), F.round(mean, 2).alias("confidence"), F.bool_or(F.col("event_type") == "purchase").alias("entities"))
     low = F.concat(F.lit("confidence="), F.format_string("%.2f", "confidence"), F.lit("<0.25"))
     reasons = F.concat_ws(
         "; ", F.when(F.col("overlap") < 0.05, "gibberish_query"), F.when(F.col("top") == 0, "no_results"),
