@@ -28,8 +28,13 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.records import ENVELOPES
 
-RANGE_BYTES = 8 << 20
+#: Bytes of a range, and the first read beyond one for its last record; each further one is twice as long.
+RANGE_BYTES, READ_AHEAD = 8 << 20, 1 << 16
+#: Tasks that ranges are dealt to, at most.
+MOST_TASKS = 1000
 QUOTE, SLASH, OPEN, CLOSE = ord('"'), ord("\\"), b"{[", b"}]"
+#: Change of depth by character.
+MOVES = np.array([(c in OPEN) - (c in CLOSE) for c in range(256)], np.int8)
 
 
 def opened(path: str) -> pa.NativeFile:
@@ -56,35 +61,29 @@ def starts_escaped(f: pa.NativeFile, lo: int) -> bool:
 
 def quotes(data: np.ndarray, escaped: bool) -> np.ndarray:
     """Where unescaped quotes stand."""
-    slash = data == SLASH
-    if escaped or slash.any():
-        at = np.arange(len(data))
-        last = np.maximum.accumulate(np.where(slash, -1, at))  # the last character before each that is no backslash
-        run = np.zeros(len(data), np.int64)
-        run[1:] = (at - last)[:-1]
-        run[0] = 0
-        whole = last[:-1] == -1  # a run that reaches back to the beginning
-        run[1:] += np.where(whole & escaped, 1, 0)
-        if escaped:
-            run[0] = 1
-        return (data == QUOTE) & (run % 2 == 0)
-    return data == QUOTE
+    at, slash = np.flatnonzero(data == QUOTE), np.flatnonzero(data == SLASH)
+    found = np.zeros(len(data), bool)
+    found[at] = True
+    if escaped and len(data):
+        found[0] = False
+    if len(slash) and len(at):
+        begin = slash[np.maximum.accumulate(np.where(np.diff(slash, prepend=-2) > 1, np.arange(len(slash)), 0))]  # of each backslash's run
+        odd = (slash - begin + 1 + ((begin == 0) & escaped)) % 2 == 1
+        near = np.minimum(np.searchsorted(slash, at - 1), len(slash) - 1)
+        found[at[(slash[near] == at - 1) & odd[near]]] = False
+    return found
 
 
 def steps(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """+1 where a bracket opens and -1 where one closes, outside strings."""
-    step = np.zeros(len(data), np.int64)
-    for c in OPEN:
-        step[data == c] = 1
-    for c in CLOSE:
-        step[data == c] = -1
+    step = MOVES[data]
     step[inside] = 0
     return step
 
 
 def in_strings(data: np.ndarray, escaped: bool, inside: bool) -> np.ndarray:
     """Whether each character stands in a string; its closing quote counts as outside, which no bracket is."""
-    return (np.cumsum(quotes(data, escaped)) + inside) % 2 == 1
+    return (np.cumsum(quotes(data, escaped), dtype=np.uint8) + np.uint8(inside)) % 2 == 1  # a count that wraps keeps its parity
 
 
 def summary(f: pa.NativeFile, lo: int, hi: int) -> tuple[int, int, int]:
@@ -126,8 +125,9 @@ def records(f: pa.NativeFile, size: int, lo: int, hi: int, inside: bool, depth:
             yield data[b : int(ends[i]) + 1].decode(errors="replace")
             continue
         text, at, level, quoted = data[b:], hi, int(after[-1]) if len(after) else depth, bool(strings[-1])
+        ahead = READ_AHEAD
         while at < size:  # the last record goes on beyond the range
-            more = read_at(f, at, min(size, at + RANGE_BYTES))
+            more, ahead = read_at(f, at, min(size, at + ahead)), min(2 * ahead, RANGE_BYTES)
             part = np.frombuffer(more, np.uint8)
             out = in_strings(part, starts_escaped(f, at), quoted)
             move = steps(part, out)
@@ -147,7 +147,10 @@ def record_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     """file, range, pos and text of every record; (range, pos) is their order in the file."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "length")  # sizes alone, no contents
     ranges = listed.where("length > 0").select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("range", "lo"))
-    ranges = ranges.select("path", "length", "range", "lo", F.least(F.col("lo") + range_bytes, "length").alias("hi")).repartition("path", "range")
+    ranges = ranges.select("path", "length", "range", "lo", F.least(F.col("lo") + range_bytes, "length").alias("hi"))
+    # by number: the rows are tiny, and Spark would join partitions by their bytes into a single task
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    ranges = ranges.repartition(tasks, "path", "range")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +169,7 @@ def record_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
         states.append((r["path"], r["length"], r["range"], r["lo"], r["hi"], bool(inside), depth))
         inside, depth = inside ^ r["q"], depth + (r["d1"] if inside else r["d0"])
     state_schema = "path string, length long, range int, lo long, hi long, inside boolean, depth int"
-    placed = spark.createDataFrame(states, state_schema).repartition("path", "range")
+    placed = spark.createDataFrame(states, state_schema).repartition(tasks, "path", "range")
     enveloped = {p for p, first in shape.items() if first == "{"}
     arrays: dict[str, list[tuple[int, str]]] = {p: [] for p in enveloped}
 
