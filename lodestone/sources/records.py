@@ -70,16 +70,19 @@ def cms_texts(df: DataFrame, key: str, json: str, most_levels: int = 8) -> DataF
 
     Tags go, white space becomes one blank, empty blocks give nothing; parts stand apart by an empty line.
     """
-    rows = df.select(key, F.try_parse_json(json).alias("_v"))
-    head = rows.select(key, F.array(F.lit(-1)).alias("at"), F.try_variant_get("_v", "$.heading", "string").alias("t"))
-    level, found = rows.select(key, F.array().cast("array<int>").alias("at"), F.try_variant_get("_v", "$.body", "array<variant>").alias("_b")), head
+    inside = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda v, path: F.try_variant_get(v, F.lit(path), "string")
+    # every level is a column of the row, so a text is parsed once and none is shuffled
+    out = df.select(key, F.try_parse_json(json).alias("_v"))
+    out = out.withColumn("_p", F.array(F.struct(F.array(F.lit(-1)).alias("at"), text(F.col("_v"), "$.heading").alias("t"))))
+    out = out.withColumn("_l", F.transform(inside(F.col("_v"), F.lit("$.body")), lambda v, i: F.struct(F.array(i).alias("at"), v.alias("v"))))
     for _ in range(most_levels):
-        each = level.select(key, "at", F.posexplode("_b").alias("_i", "_v")).select(key, F.concat("at", F.array("_i")).alias("at"), "_v")
-        found = found.unionByName(each.select(key, "at", F.try_variant_get("_v", "$.html", "string").alias("t")))
-        level = each.select(key, "at", F.try_variant_get("_v", "$.blocks", "array<variant>").alias("_b"))
-    clean = F.trim(F.regexp_replace(F.regexp_replace("t", r"<[^>]+>", " "), r"\s+", " "))
-    parts = found.select(key, "at", clean.alias("t")).where("t <> ''")
-    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda p: p.t), "\n\n").alias("text"))
+        more = F.transform("_l", lambda x: F.struct(x["at"].alias("at"), text(x["v"], "$.html").alias("t")))
+        down = F.flatten(F.transform("_l", lambda x: F.transform(inside(x["v"], F.lit("$.blocks")), lambda v, i: F.struct(F.concat(x["at"], F.array(i)).alias("at"), v.alias("v")))))
+        out = out.select(key, F.concat("_p", more).alias("_p"), down.alias("_l"))
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"\s+", " "))
+    done = F.filter(F.transform(F.array_sort("_p"), lambda p: clean(p["t"])), lambda t: t != "")
+    return out.select(key, F.array_join(done, "\n\n").alias("text"))
 
 
 def save_new_json_lines(new: DataFrame, path: str, key: str) -> None:
