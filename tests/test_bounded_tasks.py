@@ -35,3 +35,9 @@ def test_shared_terms(spark):
     asked = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["c", "d", "b", "z"])], "query_id long, terms array<string>")
     got = sorted((r.query_id, r.doc_id, r.bm25) for r in R.bm25_top_k(docs, asked, 5, shared=True).collect())
     assert got == [(1, 1, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 3.0)]
+
+
+def test_terms_have_both_frequencies(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"])], "doc_id long, tokens array<string>")
+    index = V.build(V.term_counts(docs), 2)
+    assert sorted((r.term, r.df, r.cf) for r in index.terms().collect()) == [("a", 1, 2), ("b", 2, 2)]
