@@ -133,3 +133,23 @@ def test_intents_and_guards_by_example(spark):
     cited = [("[Källa 1] [källa 1]", 3, "LOW"), ("[Källa 1] [Source 2] [doc 3]", 3, "HIGH"), ("[KÄLLA 1]", 0, "NONE"), (None, 0, "NONE")]
     got = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(cited)], "i int, q string").select("i", U.citation_issues("q").alias("n"), U.evidence_level("q").alias("level")).collect()
     assert all((r.n, r.level) == cited[r.i][1:] for r in got)
+
+
+def test_a_text_is_cut_into_words_outside_of_loops(spark):
+    """A text's words and lower case are not computed within the functions over the lists, for every element."""
+    df = spark.createDataFrame([(1, "OSL och ſo")], "i int, q string")
+    laws = df.select(W.entities("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(regexp_extract_all" not in laws and "contains(lower(q" not in laws
+    short = df.select(W.detected_abbreviations("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(q" in short and "contains(lower(q" not in short
+
+
+def test_abbreviations_as_words(spark):
+    """Substrings are no words; capitals without a plain lower case still match; no full name brings an abbreviation of its own."""
+    texts = ["betongmotor, profildsso", "\u017fo", "motso \u017fo", "so_ so", "EU-stadganx EU-stadgan", "ÄB\u0301", "\u212bRL", "RF, rf; rF"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    got = {r.i: r for r in df.select("i", W.detected_abbreviations("q").alias("d"), W.expand_abbreviations("q").alias("x")).collect()}
+    assert [got[i].d for i in (0, 1, 3, 7)] == [[], [], ["SO"], ["RF"]] and got[2].d == ["SO"]
+    assert got[4].d == ["EU-stadgan"] and got[6].d == ["ÅRL"]
+    held = {w for _, f in L.ABBREVIATIONS for w in re.findall(r"\w+", f.lower())}
+    assert not held & {a.lower() for a, _ in L.ABBREVIATIONS}
