@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -36,6 +37,30 @@ def joined_by_shuffle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Up to so many rows and shuffle partitions, a step of small joins is planned once.
+PLANNED_ROWS, PLANNED_PARTITIONS = 1_000_000, 64
+
+
+@contextmanager
+def planned_once(spark: SparkSession, rows: int) -> Iterator[bool]:
+    """Within it, steps over few rows are planned once and joined by shuffles: one job each; says whether that holds.
+
+    Adaptive plans are made anew after every stage, each stage a job and a
+    thread of the driver.  A long run of small joins gains nothing by that and
+    leaves the driver with hundreds of threads.
+    """
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    few = rows <= PLANNED_ROWS and int(spark.conf.get("spark.sql.shuffle.partitions")) <= PLANNED_PARTITIONS
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items() if few else ():
+            spark.conf.set(key, value)
+        yield few
+    finally:
+        for key, value in before.items() if few else ():
+            spark.conf.set(key, value)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver collect what finished steps have left.
 

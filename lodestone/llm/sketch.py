@@ -39,6 +39,12 @@ class Levels:
         return out.astype(np.int64)
 
 
+def bits_for(texts: DataFrame, most: int) -> int:
+    """Bits of a bitmap of the texts' tokens: two a byte, a power of two, at most ``most``."""
+    size = texts.select(F.sum(F.octet_length(texts.columns[0]).cast("long"))).first()[0] or 0
+    return min(most, max(1 << 20, 1 << (2 * size).bit_length()))
+
+
 def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels: tuple[int, ...], bits: int) -> Levels:
     """Count 64-bit tokens over all rows and mark those that reach each of ``levels``.
 
@@ -47,9 +53,10 @@ def count_levels(texts: DataFrame, tokens_of: Callable, memo: Callable, levels:
     counts, so a frequent token is one entry a batch; a range is merged and
     marked in one pass over its blocks.  An entry holds the 32 bits after the
     range's, so of very many tokens a few share an entry and seem more frequent
-    than they are.
+    than they are.  ``bits`` are the most; small tables take fewer, so that the
+    driver does not gather and hand out bitmaps that are empty.
     """
-    spark = texts.sparkSession
+    spark, bits = texts.sparkSession, bits_for(texts, bits)
     power = min(16, max(6, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     ranges = 1 << power
     per = bits // ranges
