@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialize
+
 #: Letters that may join two parts.
 LINKS = ("s",)
 
@@ -30,7 +32,7 @@ def split_compounds(words: DataFrame, dictionary: DataFrame, least: int = 3, wor
     """
     known = lambda df, c: df.join(dictionary.select(F.col(entry).alias(c)).distinct(), c, "left_semi")
     base = words.select(F.col(word).alias("word")).where(F.col(word).isNotNull()).distinct()
-    opened = known(_halves(base, "word", "a", "rest", least), "a")
+    opened = materialize(known(_halves(base, "word", "a", "rest", least), "a"), "opened")  # read twice, and few of all points
     two = known(opened.withColumnRenamed("rest", "b"), "b").select("word", F.array("a", "b").alias("parts"))
     three = known(known(_halves(opened, "rest", "b", "c", least), "b"), "c").select("word", F.array("a", "b", "c").alias("parts"))
     size = F.size("parts")
